@@ -30,6 +30,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def piece_table(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> DataFrame:
     """All pieces, with the task that cut them and their rank among its pieces of that length."""
 
+    common.ship(docs.sparkSession)
     def cut(batches):
         tokenizer = worker_tokenizer(vocabulary)
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)

@@ -62,6 +62,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """(label, indices, values) of the bounded sample, in the order of its hash."""
+    common.ship(docs.sparkSession)
     doc_id = F.col("doc_id").cast("long")
     number = F.crc32(doc_id.cast("string"))
     known = labels.select(doc_id.alias("id"), F.col("quality").cast("int").alias("label")).where(F.col("id").isNotNull() & F.col("label").isNotNull())
@@ -106,6 +107,7 @@ def train(rows, epochs: int = EPOCHS, alpha: float = 0.5, beta: float = 1.0, l1:
 
 def scorer(spark: SparkSession, weights: np.ndarray):
     """A column function from text to score; the weights, of a fixed size, are broadcast."""
+    common.ship(spark)
     shared = spark.sparkContext.broadcast(weights)
 
     @F.pandas_udf("double")

@@ -56,6 +56,7 @@ def with_fingerprints(docs: DataFrame, *kept: Column) -> DataFrame:
             found = np.array([fingerprint(t) for t in batch.column("fp_text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found)], [*batch.schema.names[:-1], "fp"])
 
+    common.ship(docs.sparkSession)
     chosen = docs.select(*kept, F.col("text").cast("string").alias("fp_text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in chosen.dtypes[:-1])
     return chosen.mapInArrow(rows, f"{schema}, fp long")

@@ -146,6 +146,7 @@ def decode_container(data: bytes, table: np.ndarray, bits: int = MAX_BITS) -> tu
 def token_table(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     """doc_id, n_tokens and ids (unsigned, little-endian, 16 bits where the vocabulary allows, else 32)."""
 
+    common.ship(docs.sparkSession)
     def encode(batches):
         tokenizer = worker_tokenizer(vocabulary)
         kind = np.dtype("<u2" if max(tokenizer.size, end_id + 1) <= 1 << 16 else "<u4")

@@ -248,9 +248,9 @@ def read_token_files(spark: SparkSession, path: str, lengths: np.ndarray) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(docs["doc_id"].astype(np.int64), mask=docs["null"] == 1), pa.array(first[:-1] + start + shard_start), pa.array(docs["tokens"].astype(np.int64)), pa.array(crc, pa.int64()), pa.array(-(-docs["tokens"].astype(np.int64) // BLOCK))], ["doc_id", "start", "n_tokens", "ids_crc32", "n_blocks"])
 
     files = spark.read.schema("shard int, start long, n_tokens long, data binary").parquet(path)
-    # one row a shard: the window without a partition orders as many rows as there are shards
+    # a row a shard, that is for 2^24 tokens or more: small enough for one task's window and for a broadcast
     before = files.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select(F.col("shard").alias("s"), F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shard_start"))
-    return files.join(before, files["shard"] == before["s"]).select("shard_start", "start", "data").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, n_blocks long")
+    return files.join(F.broadcast(before), files["shard"] == before["s"]).select("shard_start", "start", "data").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, n_blocks long")
 
 
 def op1(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:

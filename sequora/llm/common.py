@@ -72,11 +72,20 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def in_slices(batches, rows: int = 4000):
-    """Arrow batches cut so that one slice's texts and arrays stay small."""
+def in_slices(batches, rows: int = 4000, limit: int = 6 << 20):
+    """Arrow batches cut so that a slice has few rows and, but for a single row, few bytes of strings."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        sizes = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type):
+                sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        total = starts_of(sizes)
+        at = 0
+        while at < batch.num_rows:
+            stop = int(np.searchsorted(total, total[at] + limit, side="right")) - 1
+            stop = min(max(stop, at + 1), at + rows, batch.num_rows)
+            yield batch.slice(at, stop - at)
+            at = stop
 
 
 def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:

@@ -197,7 +197,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, path: str)
         edges = np.unique(np.array(found or [], np.int64))
 
     def encode(batches):
-        for batch in common.in_slices(batches, 2000):
+        for batch in common.in_slices(batches, 2000, 1 << 20):
             n = batch.column("n_tokens").to_numpy()
             streams, marks = encode_streams(_ids_of(batch.column("ids"), n), n, lengths, codes)
             key = batch.column("doc_id")

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Parts remembered by a worker; later ones are encoded anew each time, so memory stays bounded and ids are the same.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 #: White space other than single spaces and line ends: such texts need the slower cut.
 _UNPLAIN = r"[ \n][ \n]|[\t\x0b-\x0d\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Letters and these signs are never in one cut-out part, and no sign here composes with what follows it.

@@ -26,6 +26,10 @@ from .components import components
 
 BUCKET = 8
 HALF = 32
+#: Nodes whose signatures one task makes.
+NODES = 20_000
+#: Shared signatures, of 16 bytes, that may be broadcast; more are joined by a shuffle.
+BROADCAST = 4_000_000
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -77,10 +81,17 @@ def links(nodes: DataFrame, radius: int = 2) -> DataFrame:
     """Edges (u, v) that join all nodes whose fingerprints differ in at most two bits."""
     if radius != 2:
         raise ValueError("two halves and one wildcard fit a radius of two")
-    signed = signatures(nodes)
-    shared = signed.groupBy("sig").agg(F.count("*").alias("n"), F.count("side").alias("wild"), F.coalesce(F.sum("side"), F.lit(0)).alias("ones"))
-    shared = shared.where((F.col("n") > 1) & ((F.col("wild") == 0) | ((F.col("ones") > 0) & (F.col("ones") < F.col("n"))))).select(F.col("sig").alias("s"), "n")
-    met, path = common.materialise(signed.join(shared, F.col("sig") == F.col("s")).select("sig", "side", "fp", "n"), "met")
+    nodes, path = common.materialise(nodes, "nodes")
+    signed = signatures(nodes.repartition(max(1, -(-nodes.count() // NODES)), "fp"))
+    # one sum carries two counts: all nodes of a signature, and above bit 32 those with the wildcard bit set
+    both = F.sum(F.lit(1).cast("bigint") + F.when(F.col("side") == 1, F.lit(1 << HALF)).otherwise(F.lit(0)))
+    n, ones = F.col("c").bitwiseAND(F.lit((1 << HALF) - 1)), F.shiftright("c", HALF)
+    plain = F.shiftright("sig", HALF).bitwiseAND(F.lit(63)) == HALF
+    shared = signed.groupBy("sig").agg(both.alias("c")).where((n > 1) & (plain | ((ones > 0) & (ones < n)))).select(F.col("sig").alias("s"), n.alias("n"))
+    shared, _ = common.materialise(shared, "shared")
+    if shared.count() <= BROADCAST:
+        shared = F.broadcast(shared)
+    met, _ = common.materialise(signed.join(shared, F.col("sig") == F.col("s")).select("sig", "side", "fp", "n"), "met")
     few = met.where(F.col("n") <= BUCKET)
     a, b = few.select("sig", F.col("side").alias("sa"), F.col("fp").alias("u")), few.select(F.col("sig").alias("sb_sig"), F.col("side").alias("sb"), F.col("fp").alias("v"))
     near = (F.col("u") > F.col("v")) & (F.col("sa").isNull() | (F.col("sa") != F.col("sb"))) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)

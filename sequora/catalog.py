@@ -1,5 +1,7 @@
 """All queries of the library by name, with their SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
-FLAGSHIP = ""
+from .plans import reports
+
+QUERIES = {name: reports.spark_query(name) for name in reports.REPORTS}
+ORACLE_SQL = {name: reports.duckdb_sql(name) for name in reports.REPORTS}
+FLAGSHIP = "motif_geometry_counts"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -72,8 +73,20 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def in_slices(batches, rows: int = 4000, limit: int = 6 << 20):
-    """Arrow batches cut so that a slice has few rows and, but for a single row, few bytes of strings."""
+def release() -> None:
+    """Give freed memory back to the machine: Python workers are used again by later stages and keep what they took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def in_slices(batches, rows: int = 4000, limit: int = 3 << 20):
+    """Arrow batches cut so that a slice has few rows and, but for a single row, few bytes of strings.
+
+    After the last one, freed memory is given back.
+    """
     for batch in batches:
         sizes = np.zeros(batch.num_rows, np.int64)
         for column in batch.columns:
@@ -86,6 +99,7 @@ def in_slices(batches, rows: int = 4000, limit: int = 6 << 20):
             stop = min(max(stop, at + 1), at + rows, batch.num_rows)
             yield batch.slice(at, stop - at)
             at = stop
+    release()
 
 
 def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:

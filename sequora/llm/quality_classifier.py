@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -110,20 +111,19 @@ def scorer(spark: SparkSession, weights: np.ndarray):
     common.ship(spark)
     shared = spark.sparkContext.broadcast(weights)
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-
-        out = np.zeros(len(texts))
-        for at in range(0, len(texts), 2000):
-            found, counts = features(pa.array(texts.iloc[at : at + 2000], pa.string(), from_pandas=True))
-            w = shared.value
-            per_word = w[found.astype(np.int64)].sum(axis=1, dtype=np.float64)
-            total = np.concatenate([[0.0], np.cumsum(per_word)])
-            first = common.starts_of(counts)
-            dot = (total[first[1:]] - total[first[:-1]]) * (SCALE / 4) / np.maximum(counts, 1) + float(w[-1])
-            out[at : at + 2000] = 1 / (1 + np.exp(-np.clip(dot, -35, 35)))
-        return pd.Series(out)
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        w = shared.value
+        for texts in batches:
+            out = [np.zeros(0)]
+            for part in common.in_slices([pa.RecordBatch.from_arrays([texts], ["text"])], 2000, 2 << 20):
+                found, counts = features(part.column("text"))
+                per_word = w[found.astype(np.int64)].sum(axis=1, dtype=np.float64)
+                total = np.concatenate([[0.0], np.cumsum(per_word)])
+                first = common.starts_of(counts)
+                dot = (total[first[1:]] - total[first[:-1]]) * (SCALE / 4) / np.maximum(counts, 1) + float(w[-1])
+                out.append(1 / (1 + np.exp(-np.clip(dot, -35, 35))))
+            yield pa.array(np.concatenate(out))
 
     def column(text: Column) -> Column:
         return score(F.coalesce(text.cast("string"), F.lit("")))

@@ -13,7 +13,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Parts remembered by a worker; later ones are encoded anew each time, so memory stays bounded and ids are the same.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
+#: Characters of the longest part remembered.
+LONGEST = 64
 #: White space other than single spaces and line ends: such texts need the slower cut.
 _UNPLAIN = r"[ \n][ \n]|[\t\x0b-\x0d\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Letters and these signs are never in one cut-out part, and no sign here composes with what follows it.
@@ -53,6 +55,10 @@ class PartTokenizer:
         return flat, counts
 
     def _remember(self, parts: list[str], flat: np.ndarray, counts: np.ndarray) -> None:
+        short = np.fromiter((len(p) <= LONGEST for p in parts), bool, len(parts))
+        if not short.all():
+            flat = flat[np.repeat(short, counts)]
+            parts, counts = [p for p in parts if len(p) <= LONGEST], counts[short]
         n, room = len(self.number), REMEMBERED - len(self.number)
         if room <= 0:
             return

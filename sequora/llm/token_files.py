@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from . import common
 from .tokens import worker_tokenizer
 
+#: Parts that a worker remembers: encoding is most of the work here.
+PARTS = 600_000
 BLOCK = 512
 MAX_BITS = 18
 CONTAINER_TOKENS = 1 << 20
@@ -148,7 +150,7 @@ def token_table(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
 
     common.ship(docs.sparkSession)
     def encode(batches):
-        tokenizer = worker_tokenizer(vocabulary)
+        tokenizer = worker_tokenizer(vocabulary, PARTS)
         kind = np.dtype("<u2" if max(tokenizer.size, end_id + 1) <= 1 << 16 else "<u4")
         for batch in common.in_slices(batches):
             ids, counts = tokenizer.encode(batch.column("text"), end_id)

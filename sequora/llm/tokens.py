@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Parts remembered by a worker; later ones are encoded anew each time, so memory stays bounded and ids are the same.
+#: Parts remembered by a worker unless told otherwise; later ones are encoded anew each time, so memory stays bounded and ids are the same.
 REMEMBERED = 300_000
 #: Characters of the longest part remembered.
 LONGEST = 64
@@ -25,10 +25,11 @@ _CUT = re.compile(r"(?<![\s\x1c-\x1f])(?= )")
 _workers: dict[str, "PartTokenizer"] = {}
 
 
-def worker_tokenizer(path: str) -> "PartTokenizer":
-    """The tokenizer of this Python worker for a vocabulary file."""
+def worker_tokenizer(path: str, remembered: int = REMEMBERED) -> "PartTokenizer":
+    """The tokenizer of this Python worker for a vocabulary file; it remembers that many parts."""
     if path not in _workers:
         _workers[path] = PartTokenizer(path)
+    _workers[path].remembered = remembered
     return _workers[path]
 
 
@@ -47,6 +48,7 @@ class PartTokenizer:
         self.first = np.zeros(1 << 12, np.int64)
         self.count = np.zeros(1 << 12, np.int64)
         self.used = 0
+        self.remembered = REMEMBERED
 
     def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
@@ -59,7 +61,7 @@ class PartTokenizer:
         if not short.all():
             flat = flat[np.repeat(short, counts)]
             parts, counts = [p for p in parts if len(p) <= LONGEST], counts[short]
-        n, room = len(self.number), REMEMBERED - len(self.number)
+        n, room = len(self.number), self.remembered - len(self.number)
         if room <= 0:
             return
         parts, counts = parts[:room], counts[:room]

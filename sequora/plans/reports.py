@@ -137,6 +137,12 @@ REPORTS: dict[str, tuple[str, str]] = {
     "program_rank_assign": ("c as (select pool, row_number() over (order by count(*) desc, pool) as rank from legs group by pool)", "select l.tx, min_by(l.pool, c.rank) as pool from legs l join c on l.pool = c.pool group by l.tx"),
     "tip_three_state": ("t as (select distinct tx, fee from legs where token = 'A')", "select l.tx, l.pos, l.slot, case when l.token = 'N' then null when t.tx is null then 0.0e0 else l.fee end as tip from legs l left join t on l.tx = t.tx and l.fee = t.fee"),
     "customer_supplier_edges": ("", "select o.o_custkey as customer, l.pool as supplier, count(*) as n from legs l join orders o on l.tx = o.o_orderkey where o.o_orderstatus = 'F' group by o.o_custkey, l.pool having count(*) >= 2"),
+    "burstiness": ("active as (select distinct signer, slot from legs), gaps as (select signer, slot - lag(slot) over (partition by signer order by slot) as gap from active), m as (select signer, count(gap) as n, avg(gap) as mu, stddev_samp(gap) as sd from gaps group by signer)", "select signer, n, round((sd - mu) / nullif(sd + mu, 0), 6) as burstiness, round(sd / nullif(mu, 0), 6) as cv from m"),
+    "onset_waves": ("f as (select signer, pool, min(slot) as first_slot from legs group by signer, pool)", "select signer, pool, first_slot, cast(dense_rank() over (partition by signer order by first_slot) as bigint) as wave from f"),
+    "sensitivity_grid": (steps(PAIRS, NET, "settings as (select 2 as n_min, 0.5e0 as wr_min union all select 2, 0.85e0 union all select 5, 0.5e0 union all select 5, 0.85e0)"), "select s.n_min, s.wr_min, count(*) filter (where f.n >= s.n_min and f.win_rate >= s.wr_min) as pools, cast(coalesce(sum(f.n) filter (where f.n >= s.n_min and f.win_rate >= s.wr_min), 0) as bigint) as motifs from settings s cross join features f group by s.n_min, s.wr_min"),
+    "boundary_suppression": (steps(PAIRS, ROTATIONS, """placed as (select m.signer, m.f_key, m.b_key, m.geometry, m.b_slot - m.f_slot as span, n.rotation from motifs m join numbered n on n.slot = m.f_slot where m.b_slot > m.f_slot),
+        chance as (select p.signer, p.f_key, p.b_key, max(case when p.geometry = 'cross_leader' then 1.0e0 else 0.0e0 end) as crossed, avg(case when c.slot + p.span > r.last_slot then 1.0e0 else 0.0e0 end) as expected
+          from placed p join numbered c on c.rotation = p.rotation join rotations r on r.rotation = p.rotation group by p.signer, p.f_key, p.b_key)"""), "select signer, count(*) as n, round(sum(crossed), 6) as observed, round(sum(expected), 6) as expected from chance group by signer"),
 }
 
 

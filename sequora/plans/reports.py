@@ -60,6 +60,18 @@ net as (
     avg(case when b_slot - f_slot <= 2 then 1.0e0 else 0.0e0 end) as near_rate, avg(diff) as diff from net group by signer, pool
 )"""
 
+# accounts met by a leader more often than its share of all legs, and stars over accounts that share three such leaders
+FLAGGED = """
+share as (select leader, count(*) * 1.0e0 / sum(count(*)) over () as freq from legs group by leader),
+own as (select account, leader, count(*) as n, sum(count(*)) over (partition by account) as total from legs group by account, leader),
+flagged as (select o.account, o.leader, o.n, o.n * 1.0e0 / o.total / s.freq as eta from own o join share s on o.leader = s.leader where o.n >= 3 and o.n >= 2 * o.total * s.freq)"""
+COHORT = """
+triples as (select x.account, x.leader as l1, y.leader as l2, z.leader as l3 from flagged x join flagged y on x.account = y.account and x.leader < y.leader
+  join flagged z on y.account = z.account and y.leader < z.leader),
+least_of as (select l1, l2, l3, min(account) as a from triples group by l1, l2, l3),
+edges as (select m.a, t.account as b from triples t join least_of m on t.l1 = m.l1 and t.l2 = m.l2 and t.l3 = m.l3 where m.a < t.account)"""
+ACTS = "acts as (select distinct cast(m.signer as varchar(20)) as entity, n.rotation from motifs m join numbered n on n.slot = m.f_slot)"
+
 
 def steps(*parts: str, gap: int = 1) -> str:
     return ",".join(p.strip().replace("{gap}", str(gap)) for p in parts)
@@ -111,7 +123,12 @@ REPORTS: dict[str, tuple[str, str]] = {
         base as (select b.leader, sum(a.slots) * 1.0e0 / max(t.total) as freq from rotations a cross join offsets o join rotations b on b.rotation = a.rotation + o.off cross join (select sum(slots) as total from rotations) t group by b.leader),
         acts as (select distinct signer, f_slot from motifs), near as (select x.signer, r2.leader, count(*) as n from acts x join numbered r1 on r1.slot = x.f_slot cross join offsets o join rotations r2 on r2.rotation = r1.rotation + o.off group by x.signer, r2.leader),
         totals as (select signer, count(*) as total from acts group by signer)"""), "select n.signer, n.leader, n.n, round(n.n * 1.0e0 / t.total / b.freq, 6) as eta from near n join totals t on n.signer = t.signer join base b on n.leader = b.leader where n.n >= 2"),
-    "shared_leader_edges": ("s as (select distinct account, leader from legs where account < 60), e as (select a.account as a, b.account as b, count(*) as shared from s a join s b on a.leader = b.leader and a.account < b.account group by a.account, b.account)", "select a, b, shared from e where shared >= 3"),
+    "flagged_leaders": (steps(FLAGGED), "select account, leader, n, round(eta, 6) as eta from flagged"),
+    "shared_leader_edges": (steps(FLAGGED, COHORT), "select a, b, count(*) as triples from edges group by a, b"),
+    "motif_account_edges": (steps(PAIRS), "select f_account as a, b_account as b, count(*) as n from motifs group by f_account, b_account"),
+    "max_cooccurrence": (steps(PAIRS, ROTATIONS, ACTS, """offsets as (select -2 as off union all select -1 union all select 0 union all select 1 union all select 2), total as (select count(*) as n from rotations),
+        met as (select a.entity, r.leader, o.off, count(*) as observed from acts a cross join offsets o cross join total t join rotations r on r.rotation = (a.rotation - 1 + o.off + t.n) % t.n + 1 group by a.entity, r.leader, o.off),
+        ranked as (select *, row_number() over (partition by entity order by observed desc, off, leader) as k from met)"""), "select entity, leader, off, observed from ranked where k = 1"),
     # joins and sets
     "asof_rotation": (steps(ROTATIONS, "every_ as (select slot, max(first_slot) as f from (select p.slot, r.first_slot from produced p join rotations r on r.first_slot <= p.slot and r.first_slot >= p.slot - 30) x group by slot)"), "select e.slot, r.rotation from every_ e join rotations r on r.first_slot = e.f"),
     "any_inner_join": ("one as (select distinct slot from legs where token = 'A')", "select l.slot, count(*) as n from legs l join one o on l.slot = o.slot group by l.slot"),
@@ -120,7 +137,7 @@ REPORTS: dict[str, tuple[str, str]] = {
     "bundle_verdict": ("b as (select tx, pool % 3 as bundle, count(distinct token) as kinds from legs group by tx, pool % 3)", "select tx, min(bundle) filter (where kinds = 3) as bundle from b group by tx"),
     "dedup_total_order": ("r as (select signer, slot, account, amount, row_number() over (partition by signer, slot order by amount desc, account, tx, pos) as k from legs)", "select signer, slot, account, amount from r where k = 1"),
     "union_categories": ("", "select 'open' as category, count(*) as n from legs where side = 'O' union all select 'close', count(*) from legs where side = 'F' union all select 'unpriced', count(*) from legs l where not exists (select 1 from prices p where p.token = l.token)"),
-    "missing_slots": ("produced as (select distinct slot from legs where slot % 5 <> 0), wanted as (select distinct slot from legs)", "select w.slot from wanted w left join produced p on w.slot = p.slot where p.slot is null"),
+    "missing_slots": ("opened as (select distinct slot from legs where side = 'O'), closed as (select distinct slot from legs where side = 'F')", "select o.slot from opened o left join closed c on o.slot = c.slot where c.slot is null"),
     "epoch_coverage": ("e as (select cast(floor(slot / 432.0e0) as bigint) as epoch, slot from legs)", "select epoch, count(distinct slot) as slots, count(*) as legs, min(slot) as first_slot, max(slot) as last_slot from e group by epoch having count(distinct slot) >= 216"),
     "intersect_signers": ("", "select account from legs where side = 'O' and token = 'A' intersect select account from legs where side = 'F' and token = 'R'"),
     # aggregates and pivots

@@ -34,6 +34,7 @@ def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_first_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table as a stream, each event_id once."""
     events = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parquet*")
+    events = events.withColumn("ts", events["ts"].cast("timestamp"))  # watermarks need an instant
     once = replay.first_seen(events, "event_id", "ts", "2 hours")
     return replay.run_to_table(once.select("event_id", "user_id", "event_type", "value"), "first-events")
 

@@ -137,7 +137,7 @@ REPORTS: dict[str, tuple[str, str]] = {
     "bundle_verdict": ("b as (select tx, pool % 3 as bundle, count(distinct token) as kinds from legs group by tx, pool % 3)", "select tx, min(bundle) filter (where kinds = 3) as bundle from b group by tx"),
     "dedup_total_order": ("r as (select signer, slot, account, amount, row_number() over (partition by signer, slot order by amount desc, account, tx, pos) as k from legs)", "select signer, slot, account, amount from r where k = 1"),
     "union_categories": ("", "select 'open' as category, count(*) as n from legs where side = 'O' union all select 'close', count(*) from legs where side = 'F' union all select 'unpriced', count(*) from legs l where not exists (select 1 from prices p where p.token = l.token)"),
-    "missing_slots": ("opened as (select distinct slot from legs where side = 'O'), closed as (select distinct slot from legs where side = 'F')", "select o.slot from opened o left join closed c on o.slot = c.slot where c.slot is null"),
+    "missing_slots": ("wanted as (select distinct pool, slot + 1 as slot from legs), stored as (select distinct pool, slot from legs)", "select w.pool, w.slot from wanted w left join stored s on w.pool = s.pool and w.slot = s.slot where s.slot is null"),
     "epoch_coverage": ("e as (select cast(floor(slot / 432.0e0) as bigint) as epoch, slot from legs)", "select epoch, count(distinct slot) as slots, count(*) as legs, min(slot) as first_slot, max(slot) as last_slot from e group by epoch having count(distinct slot) >= 216"),
     "intersect_signers": ("", "select account from legs where side = 'O' and token = 'A' intersect select account from legs where side = 'F' and token = 'R'"),
     # aggregates and pivots

@@ -119,16 +119,3 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     least = first.join(roots, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
     named = roots.join(least, "root").select(F.col("fp").alias("f"), "component_id")
     return marked.join(named, marked["fp"] == named["f"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """Of each component the row with the smallest doc_id (null last; then by the row's hash), all its columns kept."""
-    row_hash = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
-    marked, _ = common.materialise(with_fingerprints(docs, F.col("doc_id").cast("long").alias("id"), row_hash.alias("row")), "fingerprints")
-    roots = near_duplicates(marked).select(F.col("fp").alias("f"), "root")
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
-    best = marked.join(roots, F.col("fp") == F.col("f")).groupBy("root").agg(F.min(order).alias("best"), F.count("*").alias("n"))
-    chosen, _ = common.materialise(best.select(F.col("best.id").alias("chosen_id"), F.col("best.row").alias("chosen_row")), "chosen")
-    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen_id")) & (row_hash == F.col("chosen_row")), "left_semi")
-    again = marked.groupBy("id", "row").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates() if again else kept

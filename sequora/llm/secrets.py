@@ -31,7 +31,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Bits a character, of at most log2(20) = 4.32.
 THRESHOLDS = {"hex": 2.8, "alnum": 3.6, "base64": 3.8}
 #: Words only, paths of words, one repeated unit, UUIDs, counting or alphabetical runs, and placeholders.
-ALLOWED = r"^[A-Za-z_=-]+$|^[0-9_=-]+$|^(?:[A-Za-z]+[/_-])+[A-Za-z0-9]*$|^(.{1,8}?)\1+.{0,7}$|^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|(?i:0123456789|123456789|abcdefghij|example|placeholder|your[_-]?(?:key|token|secret)|changeme|dummy)"
+ALLOWED = r"^[A-Za-z_=-]+$|^[0-9_=-]+$|^(?:[A-Za-z]+[/_-])+[A-Za-z]*$|^(.{1,8}?)\1+.{0,7}$|^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|(?i:0123456789|123456789|abcdefghij|example|placeholder|your[_-]?(?:key|token|secret)|changeme|dummy)"
 
 
 def entropy_stretch(value: Column) -> Column:

@@ -15,7 +15,7 @@ opened as (select * from legs where side = 'O'), closed as (select * from legs w
 pairs as (
   select a.pool, a.signer, a.slot as f_slot, a.pos as f_pos, b.slot as b_slot, b.pos as b_pos, a.leader as f_leader, b.leader as b_leader,
     a.amount as f_amount, b.amount as b_amount, a.token as token, a.fee + b.fee as fee, a.account as f_account, b.account as b_account,
-    a.slot * 1048576 + a.pos as f_key, b.slot * 1048576 + b.pos as b_key, b.value - a.value as gain,
+    a.slot * 1048576 + a.pos as f_key, b.slot * 1048576 + b.pos as b_key, b.value - a.value as gain, a.value as f_value, b.value as b_value,
     abs(a.amount - b.amount) / greatest(a.amount, b.amount) as diff
   from opened a join closed b on a.pool = b.pool and a.signer = b.signer and b.slot between a.slot and a.slot + 7
     and b.slot * 1048576 + b.pos > a.slot * 1048576 + a.pos + 1
@@ -96,7 +96,7 @@ REPORTS: dict[str, tuple[str, str]] = {
     "motif_candidates": (steps(PAIRS), "select pool, signer, f_slot, f_pos, b_slot, b_pos, round(diff, 6) as diff, victims, adverse, geometry from motifs"),
     "motif_geometry_counts": (steps(PAIRS), "select geometry, count(*) as n, cast(sum(victims) as bigint) as victims, round(avg(diff), 6) as diff from motifs group by geometry"),
     "victims_adverse_counts": (steps(PAIRS), "select pool, cast(sum(victims) as bigint) as victims, cast(sum(adverse) as bigint) as adverse from motifs group by pool"),
-    "profit_normalised": (steps(PAIRS), "select f_key, b_key, round(f_amount * b_amount / nullif(b_amount, 0) - f_amount, 6) as profit_a, round(b_amount - f_amount, 6) as diff_a from motifs"),
+    "profit_normalised": (steps(PAIRS), "select f_key, b_key, round(f_amount * b_value / nullif(b_amount, 0) - f_value, 6) as profit_a, round(b_amount - f_amount, 6) as diff_a from motifs"),
     "landing_slot_heatmap": (steps(PAIRS), "select f_slot % 4 as front, b_slot % 4 as back, count(*) as n, round(100.0e0 * count(*) / sum(count(*)) over (), 6) as pct from motifs group by f_slot % 4, b_slot % 4"),
     "leg_fee_sum": (steps(PAIRS), "select f_key, b_key, round(fee, 6) as fee from motifs"),
     # slippage

@@ -20,8 +20,8 @@ def entity_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cohort_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accounts linked by three flagged leaders in common."""
-    return graph.components(reports.spark_query("shared_leader_edges")(spark, sf_dir))
+    """Accounts linked by three flagged leaders in common, or by one that is flagged for both."""
+    return graph.components(reports.spark_query("cohort_edges")(spark, sf_dir))
 
 
 def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,6 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "entity_components": _components_sql("motif_account_edges"),
-    "cohort_components": _components_sql("shared_leader_edges"),
+    "cohort_components": _components_sql("cohort_edges"),
     "stream_first_events": "select distinct event_id, user_id, event_type, value from events",
 }

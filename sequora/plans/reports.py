@@ -60,7 +60,8 @@ net as (
     avg(case when b_slot - f_slot <= 2 then 1.0e0 else 0.0e0 end) as near_rate, avg(diff) as diff from net group by signer, pool
 )"""
 
-# accounts met by a leader more often than its share of all legs, and stars over accounts that share three such leaders
+# accounts met by a leader more often than its share of all legs, and stars over accounts that share three such leaders;
+# cohorts also join all accounts of one such leader
 FLAGGED = """
 share as (select leader, count(*) * 1.0e0 / sum(count(*)) over () as freq from legs group by leader),
 own as (select account, leader, count(*) as n, sum(count(*)) over (partition by account) as total from legs group by account, leader),
@@ -125,6 +126,7 @@ REPORTS: dict[str, tuple[str, str]] = {
         totals as (select signer, count(*) as total from acts group by signer)"""), "select n.signer, n.leader, n.n, round(n.n * 1.0e0 / t.total / b.freq, 6) as eta from near n join totals t on n.signer = t.signer join base b on n.leader = b.leader where n.n >= 2"),
     "flagged_leaders": (steps(FLAGGED), "select account, leader, n, round(eta, 6) as eta from flagged"),
     "shared_leader_edges": (steps(FLAGGED, COHORT), "select a, b, count(*) as triples from edges group by a, b"),
+    "cohort_edges": (steps(FLAGGED, COHORT, "least_account as (select leader, min(account) as a from flagged group by leader)"), "select a, b from edges union select m.a, f.account as b from flagged f join least_account m on f.leader = m.leader where m.a < f.account"),
     "motif_account_edges": (steps(PAIRS), "select f_account as a, b_account as b, count(*) as n from motifs group by f_account, b_account"),
     "max_cooccurrence": (steps(PAIRS, ROTATIONS, ACTS, """offsets as (select -2 as off union all select -1 union all select 0 union all select 1 union all select 2), total as (select count(*) as n from rotations),
         met as (select a.entity, r.leader, o.off, count(*) as observed from acts a cross join offsets o cross join total t join rotations r on r.rotation = (a.rotation - 1 + o.off + t.n) % t.n + 1 group by a.entity, r.leader, o.off),

@@ -1,14 +1,20 @@
 """Benchmark decontamination: item-sized windows, SimHash, multi-index Hamming blocks, exact weighted-shingle check.
 
 Words are cut at white space, lower-cased and stripped of all but letters and digits.  A window has as many words as
-the item (or all words of a shorter text); its shingles are runs of five words, or the whole of a shorter item.  Its
-64-bit SimHash adds up its shingles, repeats included.  Each item is entered into eight tables, one a byte of its
-fingerprint, under every byte value within ``RADIUS // 8`` bits: a fingerprint within ``RADIUS`` bits is at most that
-far off in one byte at least, so the tables miss none.  Windows so met are compared by Hamming distance, then by the
-weighted Jaccard similarity of their shingle counts, and stay from ``SIMILARITY`` on.
+the item (or all words of a shorter text); its shingles are runs of five words, or the whole of a shorter item.  The
+k-th occurrence of a shingle in a window is a feature of its own, so the weighted Jaccard similarity of shingle counts
+is the plain one of features, and repeated words don't make a fingerprint lean on one shingle.
 
-Windows that hold none of an item's shingles have similarity zero with it and get no fingerprint for it.  Items come
-to the executors in blocks of at most ``BLOCK_WORDS`` words, each block a pass over the documents.
+Every window of every text gets a 64-bit SimHash for each length that items have, as a difference of running sums.
+Those in which a shingle repeats, which running sums don't serve, are all verified.  Fingerprints are cut into four blocks of 16 bits; an item is entered in each block's table under every value
+within ``RADIUS // 4`` bits, so the tables miss no fingerprint within ``RADIUS`` bits.  Windows so met are compared by
+Hamming distance, and what stays is verified by exact shingle counts and stays from ``SIMILARITY`` on.
+
+A window of the item's size at a similarity of 0.8 shares 8 of 9 features, so a bit differs with probability
+arccos(8/9) / pi = 0.152; more than ``RADIUS`` of 64 differ with probability 1.1e-5, and less at a higher similarity.
+
+Items come to the executors in blocks of at most ``BLOCK_WORDS`` words and ``BLOCK_LENGTHS`` lengths, each block a pass
+over the documents.
 
 Defined cases: null and empty texts and items match nothing, nor do items without letters or digits; repeated
 documents and items each have rows; with ties in similarity the first window is named; empty tables give no row.
@@ -16,7 +22,6 @@ documents and items each have rows; with ties in similarity the first window is
 
 from __future__ import annotations
 
-import itertools
 import re
 from collections import Counter
 
@@ -29,9 +34,15 @@ from . import common
 
 WIDTH = 5
 SIMILARITY = 0.8
-#: Fingerprints of windows with a similarity of 0.8 differ in about 10 of 64 bits, give or take 3.
 RADIUS = 23
 BLOCK_WORDS = 2_000_000
+BLOCK_LENGTHS = 256
+#: Bytes of text that a worker slides over at a time, so that its sums stay near the processor.
+SLICE = 512 << 10
+#: Short words that a worker remembers the hashes of.
+WORDS = 300_000
+#: Windows whose fingerprints are made at once.
+RUN = 16384
 _NOISE = re.compile(r"[\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -40,11 +51,24 @@ def clean(word: str) -> str:
     return _NOISE.sub("", word.lower())
 
 
+_hashes: dict[str, int] = {}
+
+
 def hash_words(words: list[str]) -> np.ndarray:
-    """A hash of each cleaned word, zero for words without letters and digits."""
+    """A hash of each cleaned word, zero for words without letters and digits; a worker remembers ``WORDS`` of them."""
     from xxhash import xxh64_intdigest
 
-    return np.fromiter(((xxh64_intdigest(c) or 1) if (c := clean(w)) else 0 for w in words), np.uint64, len(words))
+    if len(_hashes) > WORDS:
+        _hashes.clear()
+    known = _hashes.get
+    out = [known(w) for w in words]
+    for at, h in enumerate(out):
+        if h is None:
+            w = words[at]
+            out[at] = (xxh64_intdigest(c) or 1) if (c := clean(w)) else 0
+            if len(w) <= 32:
+                _hashes[w] = out[at]
+    return np.array(out, np.uint64)
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
@@ -58,21 +82,84 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def _bits(hashes: np.ndarray) -> np.ndarray:
-    return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+def feature_hashes(shingles: np.ndarray, occurrence: np.ndarray) -> np.ndarray:
+    """The hash of each shingle's k-th occurrence; of the first it is the shingle's own."""
+    mixed = (shingles ^ (occurrence.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) * _BASE
+    return np.where(occurrence == 1, shingles, mixed ^ (mixed >> np.uint64(32)))
+
+
+def _signs(hashes: np.ndarray) -> np.ndarray:
+    """A row of 64 times 1 or -1 for each hash."""
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.int8)
+    bits *= 2
+    bits -= 1
+    return bits
+
+
+def _prints(sums: np.ndarray) -> np.ndarray:
+    return np.packbits(sums > 0, bitorder="little").view("<u8")
+
+
+def _kind(n: int):
+    """Sums of n signs wrap around in it without harm."""
+    return np.int8 if n <= 127 else np.int16 if n <= 32767 else np.int32
+
 
+def occurrences(shingles: np.ndarray) -> np.ndarray:
+    """For each shingle how often it has come so far, itself included."""
+    order = np.argsort(shingles, kind="stable")
+    ordered = shingles[order]
+    out = np.empty(len(shingles), np.int64)
+    out[order] = np.arange(len(shingles)) - np.searchsorted(ordered, ordered, side="left") + 1
+    return out
 
-def _packed(ones: np.ndarray, n: int) -> np.ndarray:
-    return np.packbits(2 * ones > n, axis=1)
+
+def fingerprint(shingles: np.ndarray) -> int:
+    """The SimHash of a window by itself."""
+    signs = _signs(feature_hashes(shingles, occurrences(shingles)))
+    return int(_prints(signs.sum(axis=0, dtype=np.int64)[None])[0])
+
+
+class Windows:
+    """The flat shingles of many texts, with the sums that fingerprints of windows without repeats are cut from."""
+
+    def __init__(self, words: np.ndarray, width: int, longest: int):
+        """longest: the most shingles of a window."""
+        self.shingles = shingle_hashes(words, width)
+        sums = np.zeros((len(self.shingles) + 1, 64), _kind(longest))
+        np.cumsum(_signs(self.shingles), axis=0, dtype=sums.dtype, out=sums[1:])
+        self.sums = sums
+        order = np.argsort(self.shingles, kind="stable")
+        again = (self.shingles[order[1:]] == self.shingles[order[:-1]]) & (np.diff(order) < longest)
+        # how far ahead of each shingle its next equal is, and so the windows that hold both
+        self.first, self.gap = order[:-1][again], np.diff(order)[again]
+
+    def repeating(self, n: int) -> np.ndarray:
+        """The places of windows of n shingles of which some are equal."""
+        near = self.gap < n
+        edges = np.zeros(len(self.shingles) + 1, np.int64)
+        np.add.at(edges, np.maximum(self.first[near] + self.gap[near] - n + 1, 0), 1)
+        np.add.at(edges, self.first[near] + 1, -1)
+        return np.flatnonzero(np.cumsum(edges)[: max(0, len(self.shingles) - n + 1)] > 0)
+
+    def prints(self, n: int) -> np.ndarray:
+        """A fingerprint for each place where n shingles follow, right where they differ from each other."""
+        count = len(self.shingles) - n + 1
+        out = np.zeros(max(0, count), np.uint64)
+        for a in range(0, count, RUN):
+            b = min(a + RUN, count)
+            out[a:b] = _prints(self.sums[a + n : b + n] - self.sums[a:b])
+        return out
 
 
 class Items:
     """A block of benchmark items, by words and shingle width."""
 
     def __init__(self, rows: list[tuple[int, str]]):
-        near = np.array([[(a ^ b).bit_count() <= RADIUS // 8 for b in range(256)] for a in range(256)])
+        apart = np.bitwise_count(np.arange(1 << 16, dtype=np.uint16))
+        values = np.arange(1 << 16, dtype=np.uint16)
         self.groups: dict[int, dict] = {}
-        by_shingle: dict[tuple[int, int], set[int]] = {}
+        known: dict[int, list] = {}
         for item_id, text in rows:
             hashes = hash_words(text.split())
             hashes = hashes[hashes > 0]
@@ -80,87 +167,114 @@ class Items:
                 continue
             width = min(WIDTH, len(hashes))
             shingles = shingle_hashes(hashes, width)
-            group = self.groups.setdefault(len(hashes), {"width": width, "ids": [], "counts": [], "prints": []})
+            group = self.groups.setdefault(len(hashes), {"width": width, "n": len(shingles), "ids": [], "counts": [], "prints": [], "tables": np.zeros((4, 1 << 16), bool)})
+            own = fingerprint(shingles)
             group["ids"].append(item_id)
             group["counts"].append(Counter(shingles.tolist()))
-            group["prints"].append(_packed(_bits(shingles).sum(axis=0, dtype=np.int64)[None], len(shingles))[0])
-            for s in set(shingles.tolist()):
-                by_shingle.setdefault((width, s), set()).add(len(hashes))
-        for group in self.groups.values():
-            group["prints"] = np.array(group["prints"])
-            group["tables"] = [near[:, group["prints"][:, b]] for b in range(8)]
-        self.widths = {}
-        for width in sorted({w for w, _ in by_shingle}):
-            known = np.array(sorted(s for w, s in by_shingle if w == width), np.uint64)
+            group["prints"].append(own)
+            for block in range(4):
+                group["tables"][block] |= apart[values ^ np.uint16(own >> (16 * block) & 0xFFFF)] <= RADIUS // 4
+            known.setdefault(width, []).append(shingles)
+        self.known = {}
+        for width, found in known.items():
             screen = np.zeros(1 << 22, bool)
-            screen[known & np.uint64((1 << 22) - 1)] = True
-            self.widths[width] = (known, [sorted(by_shingle[width, int(s)]) for s in known], screen)
-
-    def find(self, words: np.ndarray, hits: dict[int, list[tuple[int, list[int]]]]):
-        """Best windows of one text: (item_id, similarity, distance, first word, words)."""
-        best: dict[tuple[int, int], tuple] = {}
-        for width, at in hits.items():
-            shingles = shingle_hashes(words, width)
-            starts: dict[int, set[int]] = {}
-            for position, lengths in at:
-                for length in lengths:
-                    last = max(0, len(words) - length)
-                    spread = length - width
-                    starts.setdefault(length, set()).update(range(min(last, max(0, position - spread)), min(last, position) + 1))
-            for length, found in starts.items():
-                group = self.groups[length]
-                n = min(length, len(words)) - width + 1
-                begin = np.array(sorted(found))
-                for run in np.split(begin, np.flatnonzero(np.diff(begin) > 1) + 1):
-                    a, b = int(run[0]), int(run[-1])
-                    sums = np.zeros((b - a + n + 1, 64), np.int64)
-                    np.cumsum(_bits(shingles[a : b + n]), axis=0, out=sums[1:])
-                    prints = _packed(sums[n:] - sums[:-n], n)
-                    met = np.zeros((len(run), len(group["ids"])), bool)
-                    for k, table in enumerate(group["tables"]):
-                        met |= table[prints[:, k]]
-                    for w, i in np.argwhere(met):
-                        apart = int(np.bitwise_count(prints[w] ^ group["prints"][i]).sum())
-                        if apart > RADIUS:
-                            continue
-                        own, item = Counter(shingles[a + w : a + w + n].tolist()), group["counts"][i]
-                        shared = sum(min(c, item[s]) for s, c in own.items() if s in item)
-                        similarity = shared / (n + sum(item.values()) - shared)
-                        if similarity >= SIMILARITY and similarity > best.get((length, i), (0, 0.0))[1]:
-                            best[length, i] = (group["ids"][i], similarity, apart, a + int(w), n + width - 1)
-        return list(best.values())
+            screen[np.concatenate(found) & np.uint64((1 << 22) - 1)] = True
+            self.known[width] = screen
+
+    @staticmethod
+    def near(group: dict, prints: np.ndarray):
+        """For each item whether each fingerprint is within the radius, by way of the tables."""
+        blocks = prints.view("<u2").reshape(-1, 4)
+        met = group["tables"][0].take(blocks[:, 0])
+        for block in (1, 2, 3):
+            met |= group["tables"][block].take(blocks[:, block])
+        at = np.flatnonzero(met) if 2 * np.count_nonzero(met) < len(met) else None  # else gathering costs more than it saves
+        for own in group["prints"]:
+            if at is None:
+                yield np.bitwise_count(prints ^ np.uint64(own)) <= RADIUS
+            else:
+                out = np.zeros(len(prints), bool)
+                out[at] = np.bitwise_count(prints[at] ^ np.uint64(own)) <= RADIUS
+                yield out
 
     def search(self, texts: pa.Array):
-        """(text's index, its best windows) for each text that has one."""
+        """(text's index, its best windows) for each text that has one: (item_id, similarity, distance, first word, words)."""
         index, words, counts = common.split_words(texts.fill_null(""))
         hashes = hash_words(words.to_pylist())[index]
         owner = np.repeat(np.arange(len(counts)), counts)
         full = hashes > 0
         hashes, owner = hashes[full], owner[full]
-        first = common.starts_of(np.bincount(owner, minlength=len(counts)))
-        hits: dict[int, dict[int, list]] = {}
-        for width, (known, lengths, screen) in self.widths.items():
-            shingles = shingle_hashes(hashes, width)
-            maybe = np.flatnonzero(screen[shingles & np.uint64((1 << 22) - 1)])
-            place = np.minimum(np.searchsorted(known, shingles[maybe]), len(known) - 1)
-            for position, which in zip(maybe, place, strict=True):
-                text = owner[position]
-                if known[which] == shingles[position] and position + width <= first[text + 1]:
-                    hits.setdefault(int(text), {}).setdefault(width, []).append((int(position - first[text]), lengths[which]))
-        for text in sorted(hits):
-            if found := self.find(hashes[first[text] : first[text + 1]], hits[text]):
-                yield text, found
+        sizes = np.bincount(owner, minlength=len(counts))
+        first = common.starts_of(sizes)
+        left = first[1:][owner] - np.arange(len(owner))  # words from here to the text's end
+        best: dict[int, dict[tuple[int, int], tuple]] = {}
+
+        for width, screen in self.known.items():
+            if len(hashes) < width:
+                continue
+            lengths = sorted(k for k, g in self.groups.items() if g["width"] == width)
+            windows = Windows(hashes, width, lengths[-1] - width + 1)
+            shingles = windows.shingles
+            met = common.starts_of(screen[shingles & np.uint64((1 << 22) - 1)].astype(np.int64)).astype(np.int32)
+
+            def verify(at: np.ndarray, n: np.ndarray, group: dict, length: int, i: int) -> None:
+                for a, size in zip(at.tolist(), n.tolist(), strict=True):
+                    item = group["counts"][i]
+                    own = Counter(shingles[a : a + size].tolist())
+                    shared = sum(min(c, item[s]) for s, c in own.items() if s in item)
+                    similarity = shared / (size + group["n"] - shared)
+                    found = best.setdefault(int(owner[a]), {})
+                    if similarity >= SIMILARITY and similarity > found.get((length, i), (0, 0.0))[1]:
+                        distance = (fingerprint(shingles[a : a + size]) ^ group["prints"][i]).bit_count()
+                        found[length, i] = (group["ids"][i], similarity, distance, int(a - first[owner[a]]), size + width - 1)
+
+            shorter = np.flatnonzero((sizes < lengths[-1]) & (sizes >= width))
+            whole = np.array([fingerprint(shingles[first[t] : first[t] + sizes[t] - width + 1]) for t in shorter], np.uint64)
+            for length in lengths:
+                group = self.groups[length]
+                n = group["n"]
+                # of n shingles, so many must be known to some item if the similarity is to be reached
+                enough = met[n:] - met[:-n] >= np.ceil(2 * SIMILARITY * n / (1 + SIMILARITY) - 1e-6)
+                odd = np.zeros(len(enough), bool)
+                odd[windows.repeating(n)] = True
+                for i, close in enumerate(self.near(group, windows.prints(n))):
+                    close |= odd
+                    close &= enough
+                    at = np.flatnonzero(close)
+                    at = at[left[at] >= length]
+                    if len(at):
+                        verify(at, np.full(len(at), n), group, length, i)
+                some = np.flatnonzero((sizes[shorter] < length) & ((sizes[shorter] - width + 1) * 5 >= 4 * n))
+                for i, close in enumerate(self.near(group, whole[some])) if len(some) else ():
+                    chosen = shorter[some[close]]
+                    verify(first[chosen], sizes[chosen] - width + 1, group, length, i)
+        for text in sorted(t for t, found in best.items() if found):
+            yield text, list(best[text].values())
+
+
+_last: list = [None, None]
+
+
+def items_of(shared) -> "Items":
+    """The items of a broadcast block, made once a worker; of other blocks none is kept."""
+    if _last[0] is not shared.value:
+        _last[:] = shared.value, Items(shared.value)
+    return _last[1]
 
 
 def item_blocks(benchmark: DataFrame):
-    """The items, a bounded block at a time."""
-    block, words = [], 0
-    for row in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").toLocalIterator():
-        if block and words > BLOCK_WORDS:
+    """The items, a bounded block at a time, those of a length together."""
+    block, words, lengths = [], 0, set()
+    chosen = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    size = F.size(F.split("text", r"\s+"))
+    for row in chosen.orderBy(size, "item_id", "text").toLocalIterator():
+        own = len(row[1].split())
+        if block and (words > BLOCK_WORDS or len(lengths | {own}) > BLOCK_LENGTHS):
             yield block
-            block, words = [], 0
+            block, words, lengths = [], 0, set()
         block.append((row[0], row[1]))
-        words += len(row[1].split())
+        words += own
+        lengths.add(own)
     if block:
         yield block
 
@@ -174,8 +288,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast(rows)
 
         def search(batches, shared=shared):
-            items = Items(shared.value)
-            for batch in common.in_slices(batches):
+            items = items_of(shared)
+            for batch in common.in_slices(batches, limit=SLICE):
                 got = [(i, *window) for i, windows in items.search(batch.column("text")) for window in windows]
                 columns = list(zip(*got, strict=True)) or [[]] * 6
                 kinds = (pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int64())
@@ -190,20 +304,21 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no item, with all their columns."""
     spark = docs.sparkSession
     common.ship(spark)
-    out = docs.select("*", F.col("text").cast("string").alias("leak_text"))
+    text = common.free_name(docs.columns, "leak_text")
+    out = docs.select("*", F.col("text").cast("string").alias(text))
     for rows in item_blocks(benchmark):
         shared = spark.sparkContext.broadcast(rows)
 
         def clean_rows(batches, shared=shared):
-            items = Items(shared.value)
-            for batch in common.in_slices(batches):
+            items = items_of(shared)
+            for batch in common.in_slices(batches, limit=SLICE):
                 bad = [i for i, _ in items.search(batch.columns[-1])]
                 keep = np.ones(batch.num_rows, bool)
                 keep[bad] = False
                 yield batch.filter(pa.array(keep))
 
         out = out.mapInArrow(clean_rows, out.schema)
-    return out.drop("leak_text")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,11 +38,11 @@ RADIUS = 23
 BLOCK_WORDS = 2_000_000
 BLOCK_LENGTHS = 256
 #: Bytes of text that a worker slides over at a time, so that its sums stay near the processor.
-SLICE = 512 << 10
+SLICE = 1 << 20
 #: Short words that a worker remembers the hashes of.
 WORDS = 300_000
 #: Windows whose fingerprints are made at once.
-RUN = 16384
+RUN = 32768
 _NOISE = re.compile(r"[\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -88,21 +88,35 @@ def feature_hashes(shingles: np.ndarray, occurrence: np.ndarray) -> np.ndarray:
     return np.where(occurrence == 1, shingles, mixed ^ (mixed >> np.uint64(32)))
 
 
-def _signs(hashes: np.ndarray) -> np.ndarray:
-    """A row of 64 times 1 or -1 for each hash."""
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.int8)
-    bits *= 2
-    bits -= 1
-    return bits
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    """A row of 64 bits for each hash."""
+    return np.unpackbits(hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+
+def _running(bits: np.ndarray, kind) -> np.ndarray:
+    """Sums of the rows before each row, and of all; in bytes they go by eights, 32 rows at a time, as no sum passes 255 there."""
+    n = len(bits)
+    out = np.empty((n + 1, 64), kind)
+    out[0] = 0
+    whole = n // 32 * 32 if kind is np.uint8 else 0
+    if whole:
+        inner = np.cumsum(bits[:whole].view(np.uint64).reshape(-1, 32, 8), axis=1).view(np.uint8).reshape(-1, 32, 64)
+        before = np.zeros((len(inner), 1, 64), np.uint8)
+        np.cumsum(inner[:-1, -1], axis=0, dtype=np.uint8, out=before[1:, 0])
+        np.add(inner, before, out=out[1 : whole + 1].reshape(-1, 32, 64))
+    if whole < n:
+        rest = np.cumsum(bits[whole:], axis=0, dtype=kind)
+        np.add(rest, out[whole], out=out[whole + 1 :])
+    return out
 
 
-def _prints(sums: np.ndarray) -> np.ndarray:
-    return np.packbits(sums > 0, bitorder="little").view("<u8")
+def _packed(positive: np.ndarray) -> np.ndarray:
+    return np.packbits(positive, bitorder="little").view("<u8")
 
 
 def _kind(n: int):
-    """Sums of n signs wrap around in it without harm."""
-    return np.int8 if n <= 127 else np.int16 if n <= 32767 else np.int32
+    """Running counts wrap around in it without harm: their differences are at most n."""
+    return np.uint8 if n <= 255 else np.uint16 if n <= 65535 else np.uint32
 
 
 def occurrences(shingles: np.ndarray) -> np.ndarray:
@@ -116,8 +130,20 @@ def occurrences(shingles: np.ndarray) -> np.ndarray:
 
 def fingerprint(shingles: np.ndarray) -> int:
     """The SimHash of a window by itself."""
-    signs = _signs(feature_hashes(shingles, occurrences(shingles)))
-    return int(_prints(signs.sum(axis=0, dtype=np.int64)[None])[0])
+    ones = _bits(feature_hashes(shingles, occurrences(shingles))).sum(axis=0, dtype=np.int64)
+    return int(_packed(2 * ones > len(shingles))[0])
+
+
+_buffers: dict[str, np.ndarray] = {}
+
+
+def _buffer(name: str, size: int, kind, width: int = 0) -> np.ndarray:
+    """An array that a worker uses again and again: fresh pages cost more than the arithmetic done in them."""
+    shape = (max(size, RUN), width) if width else (max(size, RUN),)
+    have = _buffers.get(name)
+    if have is None or len(have) < size or have.dtype != kind:
+        have = _buffers[name] = np.empty(shape, kind)
+    return have[:size]
 
 
 class Windows:
@@ -126,30 +152,24 @@ class Windows:
     def __init__(self, words: np.ndarray, width: int, longest: int):
         """longest: the most shingles of a window."""
         self.shingles = shingle_hashes(words, width)
-        sums = np.zeros((len(self.shingles) + 1, 64), _kind(longest))
-        np.cumsum(_signs(self.shingles), axis=0, dtype=sums.dtype, out=sums[1:])
-        self.sums = sums
-        order = np.argsort(self.shingles, kind="stable")
-        again = (self.shingles[order[1:]] == self.shingles[order[:-1]]) & (np.diff(order) < longest)
-        # how far ahead of each shingle its next equal is, and so the windows that hold both
-        self.first, self.gap = order[:-1][again], np.diff(order)[again]
-
-    def repeating(self, n: int) -> np.ndarray:
-        """The places of windows of n shingles of which some are equal."""
-        near = self.gap < n
-        edges = np.zeros(len(self.shingles) + 1, np.int64)
-        np.add.at(edges, np.maximum(self.first[near] + self.gap[near] - n + 1, 0), 1)
-        np.add.at(edges, self.first[near] + 1, -1)
-        return np.flatnonzero(np.cumsum(edges)[: max(0, len(self.shingles) - n + 1)] > 0)
-
-    def prints(self, n: int) -> np.ndarray:
-        """A fingerprint for each place where n shingles follow, right where they differ from each other."""
-        count = len(self.shingles) - n + 1
-        out = np.zeros(max(0, count), np.uint64)
-        for a in range(0, count, RUN):
-            b = min(a + RUN, count)
-            out[a:b] = _prints(self.sums[a + n : b + n] - self.sums[a:b])
-        return out
+        self.sums = _running(_bits(self.shingles), _kind(longest))
+        # of each shingle the next equal one, by sorting hash and place together; hashes are cut short, so that a few
+        # windows more than needed count as repeating, which costs a look at them and nothing else
+        size = len(self.shingles)
+        bits = np.uint64(max(1, size.bit_length()))
+        both = np.sort((self.shingles >> bits << bits) | np.arange(size, dtype=np.uint64))
+        places = (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        again = np.flatnonzero(both[1:] >> bits == both[:-1] >> bits)
+        following = np.full(size, 2 * size, np.int64)
+        following[places[again]] = places[again + 1]
+        #: The fewest shingles from here on among which two are equal.
+        self.repeat = np.minimum.accumulate(following[::-1])[::-1] - np.arange(size) + 1
+
+    def prints(self, n: int, begin: int, end: int) -> np.ndarray:
+        """A fingerprint for each place of a stretch of at most ``RUN``, right where its n shingles differ from each other."""
+        differences, positive = _buffer("differences", end - begin, self.sums.dtype, 64), _buffer("positive", end - begin, bool, 64)
+        np.subtract(self.sums[begin + n : end + n], self.sums[begin:end], out=differences)
+        return _packed(np.greater(differences, n // 2, out=positive))
 
 
 class Items:
@@ -183,19 +203,17 @@ class Items:
 
     @staticmethod
     def near(group: dict, prints: np.ndarray):
-        """For each item whether each fingerprint is within the radius, by way of the tables."""
-        blocks = prints.view("<u2").reshape(-1, 4)
-        met = group["tables"][0].take(blocks[:, 0])
+        """For each item whether each fingerprint is within the radius, by way of the tables; the answer is overwritten by the next."""
+        blocks, k = prints.view("<u2").reshape(-1, 4), len(prints)
+        met, also, apart, bits = (_buffer(name, k, kind) for name, kind in (("met", bool), ("also", bool), ("apart", np.uint64), ("bits", np.uint8)))
+        np.take(group["tables"][0], blocks[:, 0], out=met, mode="clip")
         for block in (1, 2, 3):
-            met |= group["tables"][block].take(blocks[:, block])
-        at = np.flatnonzero(met) if 2 * np.count_nonzero(met) < len(met) else None  # else gathering costs more than it saves
+            met |= np.take(group["tables"][block], blocks[:, block], out=also, mode="clip")
         for own in group["prints"]:
-            if at is None:
-                yield np.bitwise_count(prints ^ np.uint64(own)) <= RADIUS
-            else:
-                out = np.zeros(len(prints), bool)
-                out[at] = np.bitwise_count(prints[at] ^ np.uint64(own)) <= RADIUS
-                yield out
+            np.bitwise_count(np.bitwise_xor(prints, np.uint64(own), out=apart), out=bits)
+            np.less_equal(bits, RADIUS, out=also)
+            also &= met
+            yield also
 
     def search(self, texts: pa.Array):
         """(text's index, its best windows) for each text that has one: (item_id, similarity, distance, first word, words)."""
@@ -230,20 +248,27 @@ class Items:
 
             shorter = np.flatnonzero((sizes < lengths[-1]) & (sizes >= width))
             whole = np.array([fingerprint(shingles[first[t] : first[t] + sizes[t] - width + 1]) for t in shorter], np.uint64)
+            enough = {length: np.ceil(2 * SIMILARITY * self.groups[length]["n"] / (1 + SIMILARITY) - 1e-6) for length in lengths}
+            for begin in range(0, len(shingles), RUN):
+                for length in lengths:
+                    group = self.groups[length]
+                    n = group["n"]
+                    end = min(begin + RUN, len(shingles) - n + 1)
+                    if end <= begin:
+                        continue
+                    # of n shingles, so many must be known to some item if the similarity is to be reached
+                    promising = met[begin + n : end + n] - met[begin:end] >= enough[length]
+                    odd = windows.repeat[begin:end] <= n
+                    for i, close in enumerate(self.near(group, windows.prints(n, begin, end))):
+                        close |= odd
+                        close &= promising
+                        at = np.flatnonzero(close) + begin
+                        if len(at):
+                            at = at[left[at] >= length]
+                            verify(at, np.full(len(at), n), group, length, i)
             for length in lengths:
                 group = self.groups[length]
                 n = group["n"]
-                # of n shingles, so many must be known to some item if the similarity is to be reached
-                enough = met[n:] - met[:-n] >= np.ceil(2 * SIMILARITY * n / (1 + SIMILARITY) - 1e-6)
-                odd = np.zeros(len(enough), bool)
-                odd[windows.repeating(n)] = True
-                for i, close in enumerate(self.near(group, windows.prints(n))):
-                    close |= odd
-                    close &= enough
-                    at = np.flatnonzero(close)
-                    at = at[left[at] >= length]
-                    if len(at):
-                        verify(at, np.full(len(at), n), group, length, i)
                 some = np.flatnonzero((sizes[shorter] < length) & ((sizes[shorter] - width + 1) * 5 >= 4 * n))
                 for i, close in enumerate(self.near(group, whole[some])) if len(some) else ():
                     chosen = shorter[some[close]]

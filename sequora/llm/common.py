@@ -46,7 +46,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for scratch in Scratch.open_:
+        scratch.paths.append(path)
+    return path
 
 
 def materialise(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
@@ -57,6 +60,29 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFram
     return spark.read.schema(df.schema).parquet(path), path
 
 
+class Scratch:
+    """Forgets nothing that was written while it is open: ``drop`` deletes it all but for what is still needed.
+
+    Tables that a lazy result reads stay until its caller drops them, so the operators don't delete them themselves.
+    """
+
+    open_: list["Scratch"] = []
+
+    def __enter__(self) -> "Scratch":
+        self.paths: list[str] = []
+        Scratch.open_.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        Scratch.open_.remove(self)
+
+    def drop(self, spark: SparkSession, *needed: str) -> None:
+        for path in self.paths:
+            if path not in needed:
+                drop_path(spark, path)
+        self.paths = [p for p in self.paths if p in needed]
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete an intermediate table that nothing reads any more."""
     jvm = spark.sparkContext._jvm

@@ -17,12 +17,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def match_spans(text: Column, pattern: str, rough: Column | None = None) -> Column:
+def match_spans(text: Column, pattern: str | Column, rough: Column | None = None) -> Column:
     """Leftmost non-overlapping matches: start, stop (code points, exclusive) and value.
 
     The pieces between matches give the positions.  rough: a cheaper condition that holds wherever a match is.
     """
-    both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    sought = F.lit(pattern) if isinstance(pattern, str) else pattern
+    both = F.struct(F.split(text, sought, -1).alias("gaps"), F.regexp_extract_all(text, sought, F.lit(0)).alias("found"))
 
     def place(x: Column) -> Column:
         def step(acc: Column, i: Column) -> Column:
@@ -35,7 +36,7 @@ def match_spans(text: Column, pattern: str, rough: Column | None = None) -> Colu
 
     none = F.array().cast(SPAN)
     placed = let(both, lambda x: F.when(F.size(x["found"]) > 0, place(x)).otherwise(none))
-    return F.when(text.rlike(pattern) if rough is None else rough, placed).otherwise(none)
+    return F.when(F.rlike(text, sought) if rough is None else rough, placed).otherwise(none)
 
 
 def words(text: Column) -> Column:

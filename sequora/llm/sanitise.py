@@ -1,14 +1,15 @@
 """PII: pattern entities, and information-theoretic sanitisation of the terms that give them away.
 
-Protected entities are the distinct values that the patterns find.  A term is a run of letters and digits within
-``REACH`` characters of an entity.  With N documents, c(x) the documents that hold x, and c(t, e) those that hold t
-near e, a term reveals of an entity the pointwise mutual information log2(N c(t, e) / (c(t) c(e))), of at most the
-entity's own information log2(N / c(e)).  Terms seen near the entity in ``SUPPORT`` documents or more are disclosing if
-that share reaches ``GENERALISE``; ``sanitise`` puts a general mark in their place, and nothing from ``REMOVE`` on.
-All counts are over all documents and whole texts.
+Protected entities are the distinct values that the patterns find.  A term is a run of letters and digits outside all
+entities, lower-cased where that keeps its length.  With N distinct texts, c(x) of them that hold x, and c(t, e) those
+that hold both, a term reveals of an entity the pointwise mutual information log2(N c(t, e) / (c(t) c(e))), of at most
+the entity's own information log2(N / c(e)).  Terms that ``SUPPORT`` texts or more hold together with the entity are
+disclosing if that share reaches ``GENERALISE``: every place of theirs, in whichever text, gets a general mark, and from
+``REMOVE`` on nothing is left of it.  Exact copies count once, near copies do not.  All counts are over whole texts of
+all documents; entities of a single text have no evidence beyond it, and are left to the patterns.
 
 Defined cases: a null or empty text has no span; rows alike in doc_id and text are rows of their own with equal spans;
-copies count as documents; an empty table gives no row.
+an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -27,7 +28,6 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
-REACH = 40
 SUPPORT = 2
 GENERALISE = 0.8
 REMOVE = 0.95
@@ -69,69 +69,94 @@ def _of_kind(spans: Column, kind: str) -> Column:
     return F.filter(spans, lambda s: s["kind"] == kind)
 
 
-def near_terms(text: Column, entity: Column) -> Column:
-    """Terms beside an entity, (start, stop, term): those cut by the reach are left out."""
-    def side(begin: Column, stop: Column) -> Column:
-        piece = F.substr(text, (begin + 1).cast("int"), (stop - begin).cast("int"))
-        cut = lambda s: ((s["start"] == 0) & (begin > 0) & (begin != entity["stop"])) | ((s["stop"] == stop - begin) & (stop < F.length(text)) & (stop != entity["start"]))
-        return F.transform(F.filter(match_spans(piece, TERM), lambda s: ~cut(s)), lambda s: F.struct((begin + s["start"]).alias("start"), (begin + s["stop"]).alias("stop"), F.lower(s["value"]).alias("term")))
+def masked(text: Column, base: Column) -> Column:
+    """The text with blanks where spans are, every other character in its place."""
+    by_place = F.sort_array(F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["stop"].alias("stop"))))
 
-    before = side(F.greatest(F.lit(0).cast("bigint"), entity["start"] - REACH), entity["start"])
-    after = side(entity["stop"], F.least(F.length(text).cast("bigint"), entity["stop"] + REACH))
-    return F.concat(before, after)
+    def blank(acc: Column, b: Column) -> Column:
+        begin = F.greatest(acc["at"], b["start"])
+        gap = F.substr(text, (acc["at"] + 1).cast("int"), (begin - acc["at"]).cast("int"))
+        blanks = F.repeat(F.lit(" "), F.greatest(b["stop"] - begin, F.lit(0)).cast("int"))
+        return F.struct(F.greatest(acc["at"], b["stop"]).alias("at"), F.concat(acc["out"], gap, blanks).alias("out"))
+
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    done = F.aggregate(by_place, start, blank, lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"), F.length(text))))
+    return F.when(F.size(base) > 0, done).otherwise(text)
+
+
+def folded(term: Column) -> Column:
+    return let(F.lower(term), lambda low: F.when(F.length(low) == F.length(term), low).otherwise(term))
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, base spans, and for each span the terms beside it that no span covers."""
+    """doc_id, text_hash, base spans, and the distinct terms outside them."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
-    def contexts(x: Column) -> Column:
-        free = lambda t: ~F.exists(x["base"], lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"]))
-        near = F.transform(x["base"], lambda e: F.struct(F.concat(e["kind"], F.lit(":"), F.lower(e["value"])).alias("entity"), F.filter(near_terms(x["text"], e), free).alias("terms")))
-        return F.struct(x["base"].alias("base"), near.alias("near"))
+    def terms(x: Column) -> Column:
+        outside = F.regexp_extract_all(masked(x["text"], x["base"]), F.lit(TERM), F.lit(0))
+        return F.struct(x["base"].alias("base"), F.array_distinct(F.transform(F.array_distinct(outside), folded)).alias("terms"))
 
-    found = let(F.struct(entity_spans(text).alias("base"), text.alias("text")), contexts)
+    found = let(F.struct(entity_spans(text).alias("base"), text.alias("text")), terms)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), found.alias("f"))
-    return rows.select("doc_id", "text_hash", "f.base", "f.near")
-
-
-def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(term, entity, ratio) of all pairs that reach the threshold."""
-    n_docs = docs.select(F.count("*").alias("n"))  # one row
-    per_doc = found.where(F.size("near") > 0).select(F.explode(F.array_distinct(F.flatten(F.transform("near", lambda x: F.transform(F.array_distinct(x["terms"]["term"]), lambda t: F.struct(x["entity"].alias("entity"), t.alias("term"))))))).alias("p"))
-    joint = per_doc.groupBy("p.entity", "p.term").agg(F.count("*").alias("c_te")).where(F.col("c_te") >= SUPPORT)
-    c_e = found.select(F.explode(F.array_distinct("near.entity")).alias("e")).groupBy("e").agg(F.count("*").alias("c_e"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(TERM), F.lit(0)))
-    c_t = docs.select(F.explode(words).alias("t")).groupBy("t").agg(F.count("*").alias("c_t")).where(F.col("c_t") >= SUPPORT)
-    met = joint.join(c_e, F.col("entity") == F.col("e")).join(c_t, F.col("term") == F.col("t")).join(F.broadcast(n_docs))
+    return rows.select("doc_id", "text_hash", "f.base", "f.terms")
+
+
+def disclosing(found: DataFrame) -> DataFrame:
+    """(term, term_hash, entity, c_te, c_t, c_e, ratio) of all pairs that reach the threshold."""
+    n_texts = found.select(F.count_distinct("text_hash").alias("n"))  # one row
+    own = F.array_distinct(F.transform("base", lambda b: F.concat(b["kind"], F.lit(":"), F.lower(b["value"]))))
+    held = found.where(F.size("base") > 0).select("text_hash", F.explode(own).alias("entity")).distinct()
+    c_e = held.groupBy(F.col("entity").alias("e")).agg(F.count("*").alias("c_e")).where(F.col("c_e") >= SUPPORT)
+    # only entities of several texts can have terms; a text's own are gathered beside its terms
+    sets = held.join(c_e, F.col("entity") == F.col("e")).groupBy(F.col("text_hash").alias("h")).agg(F.collect_set("entity").alias("entities"))
+    texts = found.select("text_hash", "terms").join(sets, F.col("text_hash") == F.col("h")).dropDuplicates(["text_hash"])
+    both = texts.select("entities", F.explode("terms").alias("term")).select("term", F.explode("entities").alias("entity"))
+    joint = both.groupBy("entity", "term").agg(F.count("*").alias("c_te")).where(F.col("c_te") >= SUPPORT)
+    # terms and texts go as hashes: 16 bytes a row
+    c_t = found.select("text_hash", F.explode("terms").alias("t")).select(F.xxhash64("t").alias("th"), "text_hash").distinct().groupBy("th").agg(F.count("*").alias("c_t")).where(F.col("c_t") >= SUPPORT)
+    met = joint.withColumn("term_hash", F.xxhash64("term")).join(c_e, F.col("entity") == F.col("e")).join(c_t, F.col("term_hash") == F.col("th")).join(F.broadcast(n_texts))
     pmi = F.log2(F.col("n") * F.col("c_te") / (F.col("c_t") * F.col("c_e")))
-    own = F.log2(F.col("n") / F.col("c_e"))
-    ratio = F.when(own > 0, pmi / F.when(own > 0, own)).otherwise(F.lit(0.0))
-    return met.select(F.col("entity").alias("d_entity"), F.col("term").alias("d_term"), ratio.alias("ratio")).where(F.col("ratio") >= GENERALISE)
+    most = F.log2(F.col("n") / F.col("c_e"))
+    ratio = F.when(most > 0, pmi / F.when(most > 0, most)).otherwise(F.lit(0.0))
+    return met.select("term", "term_hash", "entity", "c_te", "c_t", "c_e", ratio.alias("ratio")).where(F.col("ratio") >= GENERALISE)
 
 
-def term_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(entities of all documents, materialised; per distinct document its disclosing spans (start, stop, ratio))."""
+def places(text: Column, terms: Column) -> Column:
+    """Where the terms, structs with a share, stand as whole runs: (start, stop, ratio)."""
+    def of(t: Column) -> Column:
+        pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])\Q"), t["term"], F.lit(r"\E(?![\p{L}\p{N}])"))
+        return F.transform(match_spans(text, pattern), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), t["ratio"].alias("ratio")))
+
+    return F.sort_array(F.flatten(F.transform(terms, of)))
+
+
+def spans_of(docs: DataFrame) -> DataFrame:
+    """A row for each row of the documents: doc_id, text_hash, base, and marks: (start, stop, kind), by place."""
     found, _ = common.materialise(entities(docs), "entities")
-    pairs = disclosing(docs, found)
-    places = found.where(F.size("near") > 0).select("doc_id", "text_hash", F.explode("near").alias("x")).select("doc_id", "text_hash", "x.entity", F.explode("x.terms").alias("t"))
-    hits = places.join(pairs, (F.col("entity") == F.col("d_entity")) & (F.col("t.term") == F.col("d_term")))
-    spans = hits.groupBy("doc_id", "text_hash", F.col("t.start").alias("start"), F.col("t.stop").alias("stop")).agg(F.max("ratio").alias("ratio"))
-    mine = spans.groupBy(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash")).agg(F.sort_array(F.collect_list(F.struct("start", "stop", "ratio"))).alias("terms"))  # a text's own terms
-    return found, mine
+    best = disclosing(found).groupBy("term_hash").agg(F.max("ratio").alias("ratio"))
+    best, _ = common.materialise(best, "terms")
+    each = found.select("text_hash", F.explode("terms").alias("term")).withColumn("th", F.xxhash64("term"))
+    hits = each.join(best, F.col("th") == F.col("term_hash")).select("text_hash", "term", "ratio").distinct()
+    own = hits.groupBy(F.col("text_hash").alias("h")).agg(F.collect_list(F.struct("term", "ratio")).alias("own"))  # a text's own terms
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.select(F.xxhash64(text).alias("p_hash"), text.alias("p_text")).join(own, F.col("p_hash") == F.col("h")).dropDuplicates(["p_hash"])
+    placed = texts.select("p_hash", places(F.col("p_text"), F.col("own")).alias("placed"))
+    rows = found.select("doc_id", "text_hash", "base").join(placed, F.col("text_hash") == F.col("p_hash"), "left")
+    free = F.filter("placed", lambda t: ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
+    kind = lambda t: F.when(t["ratio"] >= REMOVE, "remove").otherwise("generalise")
+    marks = F.transform(free, lambda t: F.struct(t["start"].alias("start"), t["stop"].alias("stop"), kind(t).alias("kind")))
+    return rows.select("doc_id", "text_hash", "base", F.coalesce(marks, F.array().cast("array<struct<start:bigint,stop:bigint,kind:string>>")).alias("marks"))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """doc_id and sanitised text: entities become their kind in brackets, disclosing terms a mark or nothing."""
-    found, mine = term_spans(docs)
+    """doc_id and sanitised text: entities become their kind in brackets, disclosing terms a general mark or nothing."""
+    changed = spans_of(docs).where((F.size("base") > 0) | (F.size("marks") > 0)).select("text_hash", "base", "marks").dropDuplicates(["text_hash"])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
-    base = found.select("doc_id", "text_hash", "base").where(F.size("base") > 0).dropDuplicates(["doc_id", "text_hash"])
-    met = rows.join(base, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash")), "left").join(mine, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("h") == F.col("k_hash")), "left")
-    none = F.array().cast("array<struct<start:bigint,stop:bigint,mark:string>>")
-    marks = F.sort_array(F.concat(
-        F.coalesce(F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["stop"].alias("stop"), F.concat(F.lit("["), F.upper(b["kind"]), F.lit("]")).alias("mark"))), none),
-        F.coalesce(F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["stop"].alias("stop"), F.when(t["ratio"] >= REMOVE, "").otherwise(MARK).alias("mark"))), none),
+    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")).join(changed, F.col("h") == F.col("text_hash"), "left")
+    put_in = lambda start, stop, mark: F.struct(start.alias("start"), stop.alias("stop"), mark.alias("mark"))
+    spans = F.sort_array(F.concat(
+        F.transform("base", lambda b: put_in(b["start"], b["stop"], F.concat(F.lit("["), F.upper(b["kind"]), F.lit("]")))),
+        F.transform("marks", lambda t: put_in(t["start"], t["stop"], F.when(t["kind"] == "remove", "").otherwise(MARK))),
     ))
 
     def put(acc: Column, m: Column) -> Column:
@@ -140,15 +165,14 @@ def sanitise(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(acc["at"], m["stop"]).alias("at"), F.concat(acc["out"], gap, F.when(fresh, m["mark"]).otherwise("")).alias("out"))
 
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(marks, start, put, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
-    return met.select(F.col("id").alias("doc_id"), done.alias("text"))
+    done = F.aggregate(spans, start, put, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
+    return met.select("doc_id", F.coalesce(done, "text").alias("text"))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, mine = term_spans(common.table(spark, sf_dir, "documents"))
-    met = found.join(mine, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("text_hash") == F.col("k_hash")), "left")
+    rows = spans_of(common.table(spark, sf_dir, "documents"))
     base = printed("base")
-    terms = F.coalesce(printed(F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["stop"].alias("stop"), F.lit("term").alias("kind")))), F.lit(""))
     counts = [F.size(_of_kind(F.col("base"), k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    both = F.array_join(F.filter(F.array(base, terms), lambda s: s != ""), ",")
-    return met.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), both.alias("spans"), F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("n_term"))
+    both = F.array_join(F.filter(F.array(base, printed("marks")), lambda s: s != ""), ",")
+    actions = [F.size(_of_kind(F.col("marks"), k)).cast("long").alias(f"n_{k}") for k in ("generalise", "remove")]
+    return rows.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), both.alias("spans"), *actions)

@@ -1,9 +1,12 @@
 """URL filters: host and path rules, and gradient-boosted trees on lexical features for what no rule fits.
 
-The trees are trained from labelled URLs: those that a rule fits, its verdict as label (1: block).  Training takes a
-bounded sample, the ``SAMPLE`` labelled rows with the smallest hash of url and page_id.  Features are cut into at most ``BINS``
-bins at quantiles of the sample; each level of a tree is one aggregate of gradients by (leaf, feature, bin), of fixed
-size, from which the driver takes the best splits.  The model is then a SQL expression.
+The trees are trained from labelled URLs: those that a rule fits, its verdict as label (1: block).  Statistics of host
+suffixes are counts over all pages: how many there are, and the share of blocked ones among the labelled; a labelled
+page is dealt by its hash to one of ``FOLDS`` folds and its features leave its own fold out, so that no label reaches
+its own features.  Only the fit of the trees takes a bounded sample, the ``SAMPLE`` labelled rows with the smallest hash
+of url and page_id.  Features are cut into at most ``BINS`` bins at quantiles of the sample; each level of a tree is one
+aggregate of gradients by (leaf, feature, bin), of fixed size, from which the driver takes the best splits.  The model is
+then a SQL expression.  ``held_out`` gives its log loss on labelled pages that neither fit nor statistics have seen.
 
 Defined cases: a null url or one without ``://`` has an empty host and path and is judged by the trees like others; if
 the sample has one label only, or none, the trees say that label, or allow; rows repeat as they come.
@@ -24,6 +27,7 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 #: The most labelled rows that training takes.
 SAMPLE = 20_000
 BINS, TREES, DEPTH, RATE, L2 = 16, 8, 3, 0.5, 1.0
+FOLDS = 5
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -111,7 +115,9 @@ def train(sample: DataFrame, names: list[str]) -> tuple[float, list]:
             return F.when(F.col(c) <= cut, leaf_of(splits, 2 * k)).otherwise(leaf_of(splits, 2 * k + 1))
 
         for depth in range(DEPTH + 1):
-            each = graded.select(leaf_of(splits).alias("leaf"), "g", "h", F.posexplode("bins").alias("feature", "bin"))
+            # the last level is not split: its leaves' sums are all it needs
+            bin_of = F.posexplode("bins").alias("feature", "bin") if depth < DEPTH else F.posexplode(F.array(F.lit(0))).alias("feature", "bin")
+            each = graded.select(leaf_of(splits).alias("leaf"), "g", "h", bin_of)
             cells = each.groupBy("leaf", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()  # at most leaves x features x bins
             table: dict[int, dict[int, dict[int, tuple]]] = {}
             for r in cells:
@@ -120,7 +126,7 @@ def train(sample: DataFrame, names: list[str]) -> tuple[float, list]:
                 g, h = (sum(x[i] for x in by_feature[0].values()) for i in (0, 1))
                 value[leaf] = -RATE * g / (h + L2)
                 best = (1e-6, 0, 0.0)
-                for f, by_bin in sorted(by_feature.items()):
+                for f, by_bin in sorted(by_feature.items()) if depth < DEPTH else ():
                     gl = hl = 0.0
                     for b, cut in enumerate(cuts[names[f]]):
                         gb, hb = by_bin.get(b, (0.0, 0.0))
@@ -139,29 +145,63 @@ def train(sample: DataFrame, names: list[str]) -> tuple[float, list]:
     return bias, trees
 
 
-def judge(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Every page's host, path, rule and verdict, and the trees' probability of block."""
+def suffix_statistics(rows: DataFrame, learned: Column) -> DataFrame:
+    """Features of every (suffix, fold): counts of all rows, and of the labelled ones that may be learned from.
+
+    Fold -1 holds all; each other one leaves its own rows out.
+    """
+    label = F.when(learned, (F.col("ruled") == "block").cast("long"))
+    each = rows.groupBy("suffix", "fold").agg(F.count("*").alias("n"), F.count(label).alias("known"), F.coalesce(F.sum(label), F.lit(0)).alias("ones"))
+    each, _ = common.materialise(each, "suffixes")
+    total = each.groupBy(F.col("suffix").alias("s")).agg(F.sum("n").alias("t_n"), F.sum("known").alias("t_known"), F.sum("ones").alias("t_ones"))
+    rate = lambda ones, known: (ones + 1) / (known + 2)
+    count = F.log2(F.col("t_n") + 1.0).alias("x_suffix_count")
+    own = each.where("fold >= 0").join(total, F.col("suffix").eqNullSafe(F.col("s"))).select("s", F.col("fold").alias("f"), rate(F.col("t_ones") - F.col("ones"), F.col("t_known") - F.col("known")).alias("x_suffix_block"), count)
+    return total.select("s", F.lit(-1).alias("f"), rate(F.col("t_ones"), F.col("t_known")).alias("x_suffix_block"), count).unionByName(own)
+
+
+def with_folds(pages: DataFrame) -> DataFrame:
+    """The prepared pages with their fold: -1 where no rule gives a label."""
     rows = prepared(pages)
-    label = (F.col("ruled") == "block").cast("int").alias("label")
-    chosen = rows.where(F.col("ruled").isNotNull()).select("*", label).orderBy(F.xxhash64("url", "page_id"), "url", "page_id").limit(sample)
-    learned, path = common.materialise(chosen, "labelled")
-    # statistics of host suffixes, from the sample and so of a bounded size
-    stats = learned.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("ones")).select(F.col("suffix").alias("s"), ((F.col("ones") + 1) / (F.col("n") + 2)).alias("x_suffix_block"), F.log2(F.col("n") + 1.0).alias("x_suffix_count"))
-    stats = F.broadcast(common.materialise(stats, "suffixes")[0])
-
-    def full(df: DataFrame) -> DataFrame:
-        met = df.join(stats, F.col("suffix") == F.col("s"), "left").drop("s")
-        return met.fillna({"x_suffix_block": 0.5, "x_suffix_count": 0.0})
-
-    names = [c for c in rows.columns if c.startswith("x_")] + ["x_suffix_block", "x_suffix_count"]
-    features, at = common.materialise(full(learned).select(*names, "label").coalesce(4), "features")
+    return rows.withColumn("fold", F.when(F.col("ruled").isNotNull(), F.pmod(F.xxhash64(F.lit("fold"), "url", "page_id"), F.lit(FOLDS))).otherwise(-1).cast("int"))
+
+
+def fit(rows: DataFrame, learned: Column, sample: int) -> tuple[Column, DataFrame]:
+    """(the log-odds of block, rows with the suffix features); only rows that are labelled and learned are trained on."""
+    spark = rows.sparkSession
+    stats = suffix_statistics(rows, learned)
+    # a suffix may hold a third of all rows; the statistics, a row a suffix and fold, are broadcast by AQE where small
+    full = rows.join(stats, F.col("suffix").eqNullSafe(F.col("s")) & (F.col("fold") == F.col("f"))).drop("s", "f")
+    names = [c for c in full.columns if c.startswith("x_")]
+    known = rows.where(learned).count()
+    # a hash keeps about twice the sample before the exact cut, so that no task sends all its rows
+    place = F.xxhash64("url", "page_id")
+    bound = 2 * sample / max(known, 1)
+    most = (1 << 63) - 1 if bound >= 1 else int(-(1 << 63) + bound * (1 << 64))
+    chosen = full.where(learned & (place <= most)).orderBy(place, "url", "page_id").limit(sample).select(*names, (F.col("ruled") == "block").cast("int").alias("label"))
+    features, at = common.materialise(chosen.coalesce(4), "features")
     bias, trees = train(features, names)
-    common.drop_path(pages.sparkSession, path)
-    common.drop_path(pages.sparkSession, at)
-    score = reduce(lambda a, t: a + expression(t), trees, F.lit(bias))
-    out = full(rows).withColumn("p_block", 1 / (1 + F.exp(-score)))
+    common.drop_path(spark, at)
+    return reduce(lambda a, t: a + expression(t), trees, F.lit(bias)), full
+
+
+def judge(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """Every page's host, path, rule and verdict, and the trees' probability of block."""
+    score, full = fit(with_folds(pages), F.col("ruled").isNotNull(), sample)
+    out = full.withColumn("p_block", 1 / (1 + F.exp(-score)))
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("p_block") >= 0.5, "block").otherwise("allow")).alias("verdict"), "p_block")
 
 
+def held_out(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """One row: the labelled pages of the first fold, their log loss, that of the other folds' share of blocks, and accuracy."""
+    rows = with_folds(pages)
+    score, full = fit(rows, F.col("fold") > 0, sample)
+    label = (F.col("ruled") == "block").cast("double")
+    share = rows.where("fold > 0").agg(F.avg(label).alias("share"))  # one row
+    judged = full.where("fold = 0").select(label.alias("y"), (1 / (1 + F.exp(-score))).alias("p")).join(F.broadcast(share))
+    loss = lambda p: -F.avg(F.col("y") * F.ln(F.greatest(p, F.lit(1e-12))) + (1 - F.col("y")) * F.ln(F.greatest(1 - p, F.lit(1e-12))))
+    return judged.agg(F.count("*").alias("n"), loss(F.col("p")).alias("log_loss"), loss(F.col("share")).alias("base_loss"), F.avg(((F.col("p") >= 0.5) == (F.col("y") == 1)).cast("double")).alias("accuracy"))
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(common.table(spark, sf_dir, "pages"))

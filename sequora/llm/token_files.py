@@ -2,15 +2,15 @@
 
 Steps: texts become ids once (written to the shared folder); global counts, at most one row a vocabulary entry, give
 code lengths by package-merge; each document becomes a byte-aligned bit stream whose blocks of ``BLOCK`` ids have
-bit-offset checkpoints; streams are dealt by ranges of doc_id to shards and, in ascending doc_id order, joined into
-containers.  A container is one row of a table: Spark's writers are all that reaches every store.
+bit-offset checkpoints; streams are dealt to shards by ranges of doc_id, of the row within it, that hold about as many
+ids each, and joined into containers in ascending order.  A container is one row of a table: Spark's writers are all that reaches every store.
 
 Container bytes, little-endian: magic ``SQT1``; uint32 documents, uint32 block size; uint64 tokens; then for each
 document int64 doc_id, uint8 flag (1: the id is null), uint32 tokens, uint32 stream bytes; then uint32 bit offsets of
 all blocks within their document's stream; then the streams, bits most significant first.
 
 Defined cases: a null or empty text holds the end id alone; rows with a null doc_id come first; rows that share a
-doc_id keep their own streams, in order of tokens and stream; an empty table gives no container.
+doc_id keep their own streams, in the order of the table's parts; an empty table gives no container.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +32,12 @@ PARTS = 600_000
 BLOCK = 512
 MAX_BITS = 18
 CONTAINER_TOKENS = 1 << 20
-SHARD_TOKENS = 1 << 24
+#: Ids of a shard, about; beyond ``SHARDS`` shards they grow instead.
+SHARD_TOKENS = 1 << 22
+SHARDS = 10_000
+#: Rows sampled a shard to find where it ends.
+SAMPLED = 64
+FIRST = -(1 << 63)
 MAGIC = b"SQT1"
 _DOC = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("tokens", "<u4"), ("bytes", "<u4")])
 
@@ -146,19 +152,22 @@ def decode_container(data: bytes, table: np.ndarray, bits: int = MAX_BITS) -> tu
 
 
 def token_table(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """doc_id, n_tokens and ids (unsigned, little-endian, 16 bits where the vocabulary allows, else 32)."""
+    """doc_id, row (a number of its own), n_tokens and ids (unsigned, little-endian, 16 bits where the vocabulary allows, else 32)."""
 
     common.ship(docs.sparkSession)
     def encode(batches):
         tokenizer = worker_tokenizer(vocabulary, PARTS)
         kind = np.dtype("<u2" if max(tokenizer.size, end_id + 1) <= 1 << 16 else "<u4")
+        row = TaskContext.get().partitionId() << 40
         for batch in common.in_slices(batches):
             ids, counts = tokenizer.encode(batch.column("text"), end_id)
             ids = ids.astype(kind)
             offsets = (common.starts_of(counts) * kind.itemsize).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(ids.tobytes())])], ["doc_id", "n_tokens", "ids"])
+            numbers = pa.array(np.arange(row, row + len(counts)))
+            row += len(counts)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), numbers, pa.array(counts), pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(ids.tobytes())])], ["doc_id", "row", "n_tokens", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, "doc_id long, n_tokens long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, "doc_id long, row long, n_tokens long, ids binary")
 
 
 def _ids_of(column: pa.Array, counts: np.ndarray) -> np.ndarray:
@@ -184,6 +193,29 @@ def global_counts(tokens: DataFrame, size: int) -> np.ndarray:
     return counts
 
 
+def shard_edges(tokens: DataFrame, total: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The (doc_id, row) after which each shard but the last ends, from a sample in which ids are equally likely."""
+    if shards < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    share = F.col("n_tokens") * (SAMPLED * shards / total)
+    chance = F.shiftrightunsigned(F.xxhash64("row"), 1) / float(1 << 63)
+    # at most about SAMPLED rows a shard; a null id comes before all others
+    rows = tokens.where(chance < share).select(F.coalesce("doc_id", F.lit(FIRST)).alias("doc_id"), "row").toArrow()
+    ids, numbers = rows.column("doc_id").to_numpy(), rows.column("row").to_numpy()
+    order = np.lexsort((numbers, ids))
+    at = order[(np.arange(1, shards) * len(order)) // shards] if len(order) else order
+    return ids[at], numbers[at]
+
+
+def shard_of(ids: np.ndarray, numbers: np.ndarray, edges: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many edges lie before each (doc_id, row)."""
+    low = np.searchsorted(edges[0], ids, side="left")
+    high = np.searchsorted(edges[0], ids, side="right")
+    for i in np.flatnonzero(high > low):  # edges within one doc_id
+        low[i] += np.searchsorted(edges[1][low[i] : high[i]], numbers[i], side="left")
+    return low
+
+
 def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, path: str) -> np.ndarray:
     """Write all documents' ids to ``path`` in ascending doc_id order; returns the code lengths that readers need."""
     spark = docs.sparkSession
@@ -192,19 +224,16 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, path: str)
     counts = global_counts(tokens, size)
     lengths = code_lengths(counts)
     codes = canonical_codes(lengths)
-    shards = max(1, -(-int(counts.sum()) // SHARD_TOKENS))
-    edges = np.zeros(0, np.int64)
-    if shards > 1:
-        found = tokens.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], F.lit(max(10_000, 20 * shards))).alias("x")).first()["x"]
-        edges = np.unique(np.array(found or [], np.int64))
+    total = int(counts.sum())
+    shards = min(SHARDS, max(1, -(-total // SHARD_TOKENS)))
+    edges = shard_edges(tokens, total, shards)
 
     def encode(batches):
         for batch in common.in_slices(batches, 2000, 1 << 20):
             n = batch.column("n_tokens").to_numpy()
             streams, marks = encode_streams(_ids_of(batch.column("ids"), n), n, lengths, codes)
-            key = batch.column("doc_id")
-            shard = np.searchsorted(edges, key.fill_null(np.iinfo(np.int64).min).to_numpy(), side="left")
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), key, batch.column("n_tokens"), pa.array([m.tobytes() for m in marks], pa.binary()), pa.array(streams, pa.binary())], ["shard", "doc_id", "n_tokens", "marks", "stream"])
+            shard = shard_of(batch.column("doc_id").fill_null(FIRST).to_numpy(), batch.column("row").to_numpy(), edges)
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), batch.column("doc_id"), batch.column("row"), batch.column("n_tokens"), pa.array([m.tobytes() for m in marks], pa.binary()), pa.array(streams, pa.binary())], ["shard", "doc_id", "row", "n_tokens", "marks", "stream"])
 
     def join(batches):
         shard, start, rows, size_now = None, 0, [], 0
@@ -229,9 +258,9 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, path: str)
         if rows:
             yield flush()
 
-    coded = tokens.mapInArrow(encode, "shard int, doc_id long, n_tokens long, marks binary, stream binary")
-    ordered = coded.repartition(shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "n_tokens", "stream")
-    ordered.mapInArrow(join, "shard int, start long, n_tokens long, data binary").write.option("compression", "none").parquet(path)
+    coded = tokens.mapInArrow(encode, "shard int, doc_id long, row long, n_tokens long, marks binary, stream binary")
+    ordered = coded.repartitionById(shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "row")
+    ordered.drop("row").mapInArrow(join, "shard int, start long, n_tokens long, data binary").write.option("compression", "none").parquet(path)
     common.drop_path(spark, scratch)
     return lengths
 
@@ -250,7 +279,7 @@ def read_token_files(spark: SparkSession, path: str, lengths: np.ndarray) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(docs["doc_id"].astype(np.int64), mask=docs["null"] == 1), pa.array(first[:-1] + start + shard_start), pa.array(docs["tokens"].astype(np.int64)), pa.array(crc, pa.int64()), pa.array(-(-docs["tokens"].astype(np.int64) // BLOCK))], ["doc_id", "start", "n_tokens", "ids_crc32", "n_blocks"])
 
     files = spark.read.schema("shard int, start long, n_tokens long, data binary").parquet(path)
-    # a row a shard, that is for 2^24 tokens or more: small enough for one task's window and for a broadcast
+    # a row a shard, of which there are at most SHARDS: small enough for one task's window and for a broadcast
     before = files.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select(F.col("shard").alias("s"), F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shard_start"))
     return files.join(F.broadcast(before), files["shard"] == before["s"]).select("shard_start", "start", "data").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, n_blocks long")
 

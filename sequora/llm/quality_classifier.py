@@ -67,7 +67,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> list[tuple
     doc_id = F.col("doc_id").cast("long")
     number = F.crc32(doc_id.cast("string"))
     known = labels.select(doc_id.alias("id"), F.col("quality").cast("int").alias("label")).where(F.col("id").isNotNull() & F.col("label").isNotNull())
-    known = known.where(F.crc32(F.col("id").cast("string")) % 3 != 1).orderBy(F.xxhash64("id"), "id", "label").limit(sample)
+    known = known.where(F.crc32(F.col("id").cast("string")) % 3 != 1)
+    # a hash keeps about twice the sample before the exact cut, so that no task sends all its labels
+    bound = 2 * sample / max(known.count(), 1)
+    if bound < 1:
+        known = known.where(F.xxhash64("id") <= int(-(1 << 63) + bound * (1 << 64)))
+    known = known.orderBy(F.xxhash64("id"), "id", "label").limit(sample)
     texts = docs.where(doc_id.isNotNull() & (number % 3 != 1)).select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"))
     chosen = texts.join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("doc_id", "label", "text")  # ``sample`` rows at most
 

@@ -60,6 +60,12 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFram
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def bounded(df: DataFrame, name: str, limit: int = 1_000_000) -> DataFrame:
+    """A narrow table, written and read again; to be broadcast if it has at most ``limit`` rows."""
+    out, _ = materialise(df, name)
+    return F.broadcast(out) if out.count() <= limit else out
+
+
 class Scratch:
     """Forgets nothing that was written while it is open: ``drop`` deletes it all but for what is still needed.
 

@@ -88,32 +88,43 @@ def folded(term: Column) -> Column:
     return let(F.lower(term), lambda low: F.when(F.length(low) == F.length(term), low).otherwise(term))
 
 
+def hashed(docs: DataFrame) -> DataFrame:
+    """text_hash and text of every row, null counting as empty."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text"))
+
+
 def entities(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, base spans, and the distinct terms outside them."""
+    """doc_id, text_hash, base spans."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), entity_spans(text).alias("base"))
 
-    def terms(x: Column) -> Column:
-        outside = F.regexp_extract_all(masked(x["text"], x["base"]), F.lit(TERM), F.lit(0))
-        return F.struct(x["base"].alias("base"), F.array_distinct(F.transform(F.array_distinct(outside), folded)).alias("terms"))
 
-    found = let(F.struct(entity_spans(text).alias("base"), text.alias("text")), terms)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), found.alias("f"))
-    return rows.select("doc_id", "text_hash", "f.base", "f.terms")
+def terms_of(text: Column) -> Column:
+    """The distinct terms outside a text's entities.  Texts are read again for them: their terms are larger than they are."""
+    outside = lambda x: F.regexp_extract_all(masked(x["text"], x["base"]), F.lit(TERM), F.lit(0))
+    return let(F.struct(entity_spans(text).alias("base"), text.alias("text")), lambda x: F.array_distinct(F.transform(F.array_distinct(outside(x)), folded)))
 
 
-def disclosing(found: DataFrame) -> DataFrame:
+def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(term, term_hash, entity, c_te, c_t, c_e, ratio) of all pairs that reach the threshold."""
     n_texts = found.select(F.count_distinct("text_hash").alias("n"))  # one row
     own = F.array_distinct(F.transform("base", lambda b: F.concat(b["kind"], F.lit(":"), F.lower(b["value"]))))
     held = found.where(F.size("base") > 0).select("text_hash", F.explode(own).alias("entity")).distinct()
     c_e = held.groupBy(F.col("entity").alias("e")).agg(F.count("*").alias("c_e")).where(F.col("c_e") >= SUPPORT)
+    c_e, _ = common.materialise(c_e, "held")
     # only entities of several texts can have terms; a text's own are gathered beside its terms
     sets = held.join(c_e, F.col("entity") == F.col("e")).groupBy(F.col("text_hash").alias("h")).agg(F.collect_set("entity").alias("entities"))
-    texts = found.select("text_hash", "terms").join(sets, F.col("text_hash") == F.col("h")).dropDuplicates(["text_hash"])
-    both = texts.select("entities", F.explode("terms").alias("term")).select("term", F.explode("entities").alias("entity"))
+    texts = hashed(docs).join(common.bounded(sets, "sets", 100_000), F.col("text_hash") == F.col("h")).dropDuplicates(["text_hash"])
+    both = texts.select("entities", F.explode(terms_of(F.col("text"))).alias("term")).select("term", F.explode("entities").alias("entity"))
     joint = both.groupBy("entity", "term").agg(F.count("*").alias("c_te")).where(F.col("c_te") >= SUPPORT)
-    # terms and texts go as hashes: 16 bytes a row
-    c_t = found.select("text_hash", F.explode("terms").alias("t")).select(F.xxhash64("t").alias("th"), "text_hash").distinct().groupBy("th").agg(F.count("*").alias("c_t")).where(F.col("c_t") >= SUPPORT)
+    # a term's texts: its rows, less those by which each copied text is more than one
+    copied = common.bounded(found.groupBy(F.col("text_hash").alias("h")).agg((1 - F.count("*")).alias("less")).where("less < 0"), "copied")
+    again = hashed(docs).join(copied, F.col("text_hash") == F.col("h")).groupBy("text_hash", "less").agg(F.first("text").alias("text"))
+    rows = hashed(docs).select(F.explode(terms_of(F.col("text"))).alias("t"), F.lit(1).cast("long").alias("w"))
+    rows = rows.unionByName(again.select(F.explode(terms_of(F.col("text"))).alias("t"), F.col("less").alias("w")))
+    # terms go as hashes: 16 bytes a row
+    c_t = rows.select(F.xxhash64("t").alias("th"), "w").groupBy("th").agg(F.sum("w").alias("c_t")).where(F.col("c_t") >= SUPPORT)
     met = joint.withColumn("term_hash", F.xxhash64("term")).join(c_e, F.col("entity") == F.col("e")).join(c_t, F.col("term_hash") == F.col("th")).join(F.broadcast(n_texts))
     pmi = F.log2(F.col("n") * F.col("c_te") / (F.col("c_t") * F.col("c_e")))
     most = F.log2(F.col("n") / F.col("c_e"))
@@ -133,14 +144,12 @@ def places(text: Column, terms: Column) -> Column:
 def spans_of(docs: DataFrame) -> DataFrame:
     """A row for each row of the documents: doc_id, text_hash, base, and marks: (start, stop, kind), by place."""
     found, _ = common.materialise(entities(docs), "entities")
-    best = disclosing(found).groupBy("term_hash").agg(F.max("ratio").alias("ratio"))
-    best, _ = common.materialise(best, "terms")
-    each = found.select("text_hash", F.explode("terms").alias("term")).withColumn("th", F.xxhash64("term"))
+    best = common.bounded(disclosing(docs, found).groupBy("term_hash").agg(F.max("ratio").alias("ratio")), "terms")
+    each = hashed(docs).select("text_hash", F.explode(terms_of(F.col("text"))).alias("term")).withColumn("th", F.xxhash64("term"))
     hits = each.join(best, F.col("th") == F.col("term_hash")).select("text_hash", "term", "ratio").distinct()
-    own = hits.groupBy(F.col("text_hash").alias("h")).agg(F.collect_list(F.struct("term", "ratio")).alias("own"))  # a text's own terms
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    texts = docs.select(F.xxhash64(text).alias("p_hash"), text.alias("p_text")).join(own, F.col("p_hash") == F.col("h")).dropDuplicates(["p_hash"])
-    placed = texts.select("p_hash", places(F.col("p_text"), F.col("own")).alias("placed"))
+    own = common.bounded(hits.groupBy(F.col("text_hash").alias("h")).agg(F.collect_list(F.struct("term", "ratio")).alias("own")), "hits", 100_000)  # a text's own terms
+    texts = hashed(docs).join(own, F.col("text_hash") == F.col("h")).dropDuplicates(["text_hash"])
+    placed = texts.select(F.col("text_hash").alias("p_hash"), places(F.col("text"), F.col("own")).alias("placed"))
     rows = found.select("doc_id", "text_hash", "base").join(placed, F.col("text_hash") == F.col("p_hash"), "left")
     free = F.filter("placed", lambda t: ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
     kind = lambda t: F.when(t["ratio"] >= REMOVE, "remove").otherwise("generalise")

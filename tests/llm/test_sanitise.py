@@ -50,8 +50,8 @@ def texts(rng):
 
 def test_pairs_equal_plain_counts(spark):
     rows = texts(random.Random(5))
-    found = sanitise.entities(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
-    got = {(r.term, r.entity): r.ratio for r in sanitise.disclosing(found).collect()}
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {(r.term, r.entity): r.ratio for r in sanitise.disclosing(docs, sanitise.entities(docs)).collect()}
     want = plain([t or "" for t in rows])
     assert got and set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
@@ -73,5 +73,5 @@ def test_every_place_is_marked(spark):
 
 def test_copies_are_no_evidence(spark):
     rows = [(i, "a@b.de secretword") for i in range(9)] + [(20 + i, f"other{i} words") for i in range(9)]
-    found = sanitise.entities(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sanitise.disclosing(found).count() == 0
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sanitise.disclosing(docs, sanitise.entities(docs)).count() == 0

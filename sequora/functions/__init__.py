@@ -1 +1 @@
-"""Functions of the ledger engine."""
+"""Functions of columns."""

@@ -5,8 +5,11 @@ Claims reach over pools and tiers, so a window is matched as a whole: round trip
 those over two leaders take what is left.  A window holds the legs of two rotations, a number that block sizes bound;
 a motif belongs to the window whose left rotation holds its first front.
 
-Defined cases: legs with a null in a needed column match nothing; an empty table gives no row; a window without a
-right neighbour is matched alone; legs that repeat are legs of their own.
+A right neighbour is the next rotation if it begins at most ``GAP`` slots after the left one and both leaders are known.
+
+Defined cases: legs with a null in a needed column but the leader match nothing; a slot of unknown leader is a rotation
+of its own and has no neighbour; an empty table gives no row; a window without a right neighbour is matched alone; legs
+that repeat are legs of their own.
 """
 
 from __future__ import annotations
@@ -15,11 +18,15 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import ordered
+
 #: Positions between neighbouring legs of one group.
 CHAIN = 500
+#: Slots between neighbouring rotations, and within one.
+GAP = 4
 #: Largest relative difference between what goes in and what comes out.
 TOLERANCE = 0.1
 DUST = 1e-6
@@ -27,14 +34,6 @@ NEEDED = ("slot", "pos", "pool", "signer", "side", "amount", "leader")
 FOUND = "pool long, signer long, side string, f_slot long, f_pos long, b_slot long, b_pos long, fronts int, backs int, victims int, adverse int, front_amount double, back_amount double, cross_leader boolean"
 
 
-def rotations(legs: DataFrame, gap: int = 1) -> DataFrame:
-    """(slot, rotation): runs of produced slots of one leader.  One row a slot, so the ordered pass is over slots, not legs."""
-    produced = legs.where("slot is not null and leader is not null").groupBy("slot").agg(F.min("leader").alias("leader"))
-    by_slot = Window.orderBy("slot")
-    fresh = F.when((F.lag("leader").over(by_slot) == F.col("leader")) & (F.col("slot") - F.lag("slot").over(by_slot) <= gap), 0).otherwise(1)
-    return produced.withColumn("fresh", fresh).select("slot", F.sum("fresh").over(by_slot.rowsBetween(Window.unboundedPreceding, 0)).cast("long").alias("rotation"))
-
-
 def chain(at: np.ndarray, free: np.ndarray, first: int) -> list[int]:
     """Members of the group that starts at ``first``: free legs, each near the one before."""
     group = [first]
@@ -123,20 +122,28 @@ def match_window(legs: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")])
 
 
-def place(legs: DataFrame, gap: int = 1) -> DataFrame:
-    """The legs that can match, with the rotation of their slot."""
-    whole = legs.select(*NEEDED).dropna()
+def place(legs: DataFrame, gap: int = GAP) -> DataFrame:
+    """The legs that can match, with the rotation of their slot and whether it joins the one before."""
+    whole = legs.select(*NEEDED).dropna(subset=[c for c in NEEDED if c != "leader"])
     typed = whole.select(*[F.col(c).cast("string" if c == "side" else "double" if c == "amount" else "long").alias(c) for c in NEEDED])
-    return typed.join(rotations(typed, gap), "slot")
+    numbered = ordered.rotations(typed.select("slot", "leader"), gap)
+    extents = ordered.rotation_extents(numbered)
+    before = extents.select((F.col("rotation") + 1).alias("r"), F.col("leader").alias("l"), "last_slot")
+    near = (F.col("first_slot") <= F.col("last_slot") + GAP) & F.col("leader").isNotNull() & F.col("l").isNotNull()
+    joined = extents.drop("last_slot").join(before, F.col("rotation") == F.col("r")).where(near).select("rotation", F.lit(True).alias("joins"))
+    placed = typed.drop("leader").join(numbered, "slot").join(joined, "rotation", "left")
+    return placed.select(*NEEDED, "rotation", F.coalesce("joins", F.lit(False)).alias("joins"))
 
 
 def match_windows(placed: DataFrame, last: int | None = None) -> DataFrame:
     """The motifs of all windows, or of those whose left rotation is at most ``last``."""
-    both = placed.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("back")).select("*", (F.col("rotation") - F.col("back")).alias("window"), (F.col("back") == 0).alias("left"))
-    chosen = both.where("window > 0" if last is None else f"window > 0 and window <= {int(last)}")
-    return chosen.drop("rotation", "back").groupBy("window").applyInPandas(match_window, FOUND)
+    turns = F.when(F.col("joins"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    both = placed.select("*", F.explode(turns).alias("back")).select("*", (F.col("rotation") - F.col("back")).alias("window"), (F.col("back") == 0).alias("left"))
+    chosen = both if last is None else both.where(F.col("window") <= int(last))
+    # an unknown leader has a window to itself, so any number will do for it
+    return chosen.withColumn("leader", F.coalesce("leader", F.lit(-1))).drop("rotation", "back", "joins").groupBy("window").applyInPandas(match_window, FOUND)
 
 
-def claimed_motifs(legs: DataFrame, gap: int = 1) -> DataFrame:
+def claimed_motifs(legs: DataFrame, gap: int = GAP) -> DataFrame:
     """One row a claimed motif of the ledger's legs."""
     return match_windows(place(legs, gap))

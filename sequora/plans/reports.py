@@ -10,31 +10,42 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources import ledger
 
 # Shared steps -----------------------------------------------------------------------------------------------------
-PAIRS = """
-opened as (select * from legs where side = 'O'), closed as (select * from legs where side = 'F'),
+# Ordered passes go over chunks of 512 slots; totals, a row a chunk, carry over their edges.
+TURNS = """
+{p}produced as (select slot, min(leader) as leader, count(*) as tx_count, cast(floor(slot / 512.0e0) as bigint) as chunk from legs group by slot),
+{p}edges as (select chunk, max_by(leader, slot) as leader, max(slot) as slot, sum(tx_count) as txs from {p}produced group by chunk),
+{p}carried as (select chunk, lag(leader) over (order by chunk) as p_leader, lag(slot) over (order by chunk) as p_slot, coalesce(sum(txs) over (order by chunk rows between unbounded preceding and 1 preceding), 0) as before from {p}edges),
+{p}beside as (
+  select q.slot, q.leader, q.tx_count, q.chunk, c.before + coalesce(sum(q.tx_count) over (partition by q.chunk order by q.slot rows between unbounded preceding and 1 preceding), 0) as start,
+    lag(q.slot) over (partition by q.chunk order by q.slot) as i_slot, lag(q.leader) over (partition by q.chunk order by q.slot) as i_leader, c.p_slot, c.p_leader
+  from {p}produced q join {p}carried c on c.chunk = q.chunk
+), {p}marked as (select slot, leader, tx_count, chunk, start, case when case when i_slot is null then p_leader else i_leader end = leader and slot - coalesce(i_slot, p_slot) <= {gap} then 0 else 1 end as fresh from {p}beside),
+{p}runs as (select chunk, coalesce(sum(n) over (order by chunk rows between unbounded preceding and 1 preceding), 0) as before from (select chunk, sum(fresh) as n from {p}marked group by chunk) z),
+{p}numbered as (select m.slot, m.leader, m.tx_count, m.chunk, m.start, cast(r.before + sum(m.fresh) over (partition by m.chunk order by m.slot rows unbounded preceding) as bigint) as rotation from {p}marked m join {p}runs r on r.chunk = m.chunk),
+{p}rotations as (select rotation, min(leader) as leader, min(slot) as first_slot, max(slot) as last_slot, count(*) as slots, cast(sum(tx_count) as bigint) as txs from {p}numbered group by rotation)"""
+ROTATIONS = TURNS.replace("{p}", "")
+# A front and a back lie in one rotation or in two neighbours, of known leaders and at most four slots apart; a window
+# of a pool holds the legs of two rotations, and all joins are on it.
+PAIRS = TURNS.replace("{p}", "w_").replace("{gap}", "4") + """,
+follows as (select b.rotation from w_rotations a join w_rotations b on b.rotation = a.rotation + 1 where b.first_slot <= a.last_slot + 4 and a.leader is not null and b.leader is not null),
+stood as (select l.*, l.slot * 1048576 + l.pos as at, n.rotation from legs l join w_numbered n on n.slot = l.slot),
+seen as (select q.*, q.rotation - d.back as win from stood q cross join (select 0 as back union all select 1) d left join follows f on f.rotation = q.rotation where d.back = 0 or f.rotation is not null),
 pairs as (
-  select a.pool, a.signer, a.slot as f_slot, a.pos as f_pos, b.slot as b_slot, b.pos as b_pos, a.leader as f_leader, b.leader as b_leader,
+  select a.pool, a.signer, a.rotation as win, a.slot as f_slot, a.pos as f_pos, b.slot as b_slot, b.pos as b_pos, a.leader as f_leader, b.leader as b_leader,
     a.amount as f_amount, b.amount as b_amount, a.token as token, a.fee + b.fee as fee, a.account as f_account, b.account as b_account,
-    a.slot * 1048576 + a.pos as f_key, b.slot * 1048576 + b.pos as b_key, b.value - a.value as gain, a.value as f_value, b.value as b_value,
+    a.at as f_key, b.at as b_key, b.value - a.value as gain, a.value as f_value, b.value as b_value,
     abs(a.amount - b.amount) / greatest(a.amount, b.amount) as diff
-  from opened a join closed b on a.pool = b.pool and a.signer = b.signer and b.slot between a.slot and a.slot + 7
-    and b.slot * 1048576 + b.pos > a.slot * 1048576 + a.pos + 1
-  where abs(a.amount - b.amount) / greatest(a.amount, b.amount) <= 0.1e0
+  from stood a join seen b on a.pool = b.pool and a.signer = b.signer and b.win = a.rotation and b.at > a.at + 1
+  where a.side = 'O' and b.side = 'F' and abs(a.amount - b.amount) / greatest(a.amount, b.amount) <= 0.1e0
 ), hit as (
-  select p.pool, p.signer, p.f_key, p.b_key, v.slot * 1048576 + v.pos as v_key, v.side as v_side, v.limit_amount, v.actual_amount, v.token as v_token
-  from pairs p join legs v on v.pool = p.pool and v.slot between p.f_slot and p.b_slot
-    and v.slot * 1048576 + v.pos > p.f_key and v.slot * 1048576 + v.pos < p.b_key and v.signer <> p.signer
+  select p.pool, p.signer, p.f_key, p.b_key, v.at as v_key, v.side as v_side, v.limit_amount, v.actual_amount, v.token as v_token
+  from pairs p join seen v on v.pool = p.pool and v.win = p.win and v.at > p.f_key and v.at < p.b_key and v.signer <> p.signer
 ), counted as (
   select f_key, b_key, count(*) filter (where v_side = 'O') as victims, count(*) filter (where v_side = 'F') as adverse from hit group by f_key, b_key
 ), motifs as (
   select p.*, c.victims, c.adverse, case when f_leader <> b_leader then 'cross_leader' when f_slot <> b_slot then 'same_leader_multi_slot' else 'single_slot' end as geometry
   from pairs p join counted c on p.f_key = c.f_key and p.b_key = c.b_key where c.victims > 0
 )"""
-ROTATIONS = """
-produced as (select slot, min(leader) as leader, count(*) as tx_count from legs group by slot),
-marked as (select *, case when lag(leader) over (order by slot) = leader and slot - lag(slot) over (order by slot) <= {gap} then 0 else 1 end as fresh from produced),
-numbered as (select *, sum(fresh) over (order by slot rows unbounded preceding) as rotation from marked),
-rotations as (select cast(rotation as bigint) as rotation, min(leader) as leader, min(slot) as first_slot, max(slot) as last_slot, count(*) as slots, cast(sum(tx_count) as bigint) as txs from numbered group by rotation)"""
 CONSUMED = """
 consumed as (
   select f_key, b_key, v_key, case
@@ -60,17 +71,16 @@ net as (
     avg(case when b_slot - f_slot <= 2 then 1.0e0 else 0.0e0 end) as near_rate, avg(diff) as diff from net group by signer, pool
 )"""
 
-# accounts met by a leader more often than its share of all legs, and stars over accounts that share three such leaders;
-# cohorts also join all accounts of one such leader
+# accounts met by a leader more often than its share of all legs; cohorts join all accounts of one such leader
 FLAGGED = """
 share as (select leader, count(*) * 1.0e0 / sum(count(*)) over () as freq from legs group by leader),
 own as (select account, leader, count(*) as n, sum(count(*)) over (partition by account) as total from legs group by account, leader),
 flagged as (select o.account, o.leader, o.n, o.n * 1.0e0 / o.total / s.freq as eta from own o join share s on o.leader = s.leader where o.n >= 3 and o.n >= 2 * o.total * s.freq)"""
-COHORT = """
-triples as (select x.account, x.leader as l1, y.leader as l2, z.leader as l3 from flagged x join flagged y on x.account = y.account and x.leader < y.leader
-  join flagged z on y.account = z.account and y.leader < z.leader),
-least_of as (select l1, l2, l3, min(account) as a from triples group by l1, l2, l3),
-edges as (select m.a, t.account as b from triples t join least_of m on t.l1 = m.l1 and t.l2 = m.l2 and t.l3 = m.l3 where m.a < t.account)"""
+# two accounts that share three of their leaders share one that is among all but the two commonest of either
+SHARED = """
+often as (select leader, count(*) as n from flagged group by leader),
+turned as (select f.account, f.leader, row_number() over (partition by f.account order by o.n, f.leader) as turn, count(*) over (partition by f.account) as held from flagged f join often o on o.leader = f.leader),
+candidates as (select distinct x.account as a, y.account as b from turned x join turned y on x.leader = y.leader and x.account < y.account where x.turn <= x.held - 2 and y.turn <= y.held - 2)"""
 ACTS = "acts as (select distinct cast(m.signer as varchar(20)) as entity, n.rotation from motifs m join numbered n on n.slot = m.f_slot)"
 
 
@@ -84,11 +94,17 @@ REPORTS: dict[str, tuple[str, str]] = {
     "rotation_islands": (steps(ROTATIONS), "select rotation, leader, first_slot, last_slot, slots, txs from rotations"),
     "rotation_islands_tolerant": (steps(ROTATIONS, gap=4), "select rotation, leader, first_slot, last_slot, slots, txs from rotations"),
     "rotation_neighbours": (steps(ROTATIONS), "select a.rotation, a.leader, b.leader as next_leader from rotations a join rotations b on b.rotation = a.rotation + 1 where b.first_slot <= a.last_slot + 4"),
-    "slot_coordinates": (steps(ROTATIONS), "select slot, tx_count, cast(coalesce(sum(tx_count) over (order by slot rows between unbounded preceding and 1 preceding), 0) as bigint) as start from produced"),
-    "front_back_gap": (steps(PAIRS, ROTATIONS, "coord as (select slot, coalesce(sum(tx_count) over (order by slot rows between unbounded preceding and 1 preceding), 0) as start from produced)"), "select m.f_key, m.b_key, cast(b.start + m.b_pos - a.start - m.f_pos as bigint) as gap from motifs m join coord a on a.slot = m.f_slot join coord b on b.slot = m.b_slot"),
+    "slot_coordinates": (steps(ROTATIONS), "select slot, tx_count, cast(start as bigint) as start from marked"),
+    "front_back_gap": (steps(PAIRS, ROTATIONS), "select m.f_key, m.b_key, cast(b.start + m.b_pos - a.start - m.f_pos as bigint) as gap from motifs m join marked a on a.slot = m.f_slot join marked b on b.slot = m.b_slot"),
     "inter_arrival": ("active as (select distinct signer, slot from legs), gaps as (select signer, slot - lag(slot) over (partition by signer order by slot) as gap from active)", "select signer, count(gap) as n, round(avg(gap), 6) as mean_gap, round(stddev_samp(gap), 6) as sd_gap, round((stddev_samp(gap) - avg(gap)) / nullif(stddev_samp(gap) + avg(gap), 0), 6) as burstiness from gaps group by signer"),
-    "cumulative_share_gini": (steps("owners as (select account, sum(value) as v from legs group by account), ranked as (select v, row_number() over (order by v, account) as r, count(*) over () as n, sum(v) over () as total from owners)"), "select count(*) as accounts, round(2 * sum(r * v) / (max(n) * max(total)) - (max(n) + 1.0e0) / max(n), 6) as gini from ranked"),
-    "rolling_crossover": ("seq as (select slot, avg(case when side = 'O' then 1.0e0 else 0.0e0 end) over (order by slot, pos rows between 200 preceding and 199 following) as share, count(*) over (order by slot, pos rows between 200 preceding and 199 following) as n from legs)", "select min(slot) filter (where n = 400 and share >= 0.5e0) as first_slot, count(*) filter (where n = 400) as full_frames from seq"),
+    "cumulative_share_gini": (steps("""owners as (select account, sum(value) as v from legs group by account), bounds as (select min(v) as lo, max(v) as hi from owners),
+        cut as (select account, v, coalesce(least(cast(floor((v - lo) / nullif(hi - lo, 0) * 256) as bigint), 255), 0) as bucket from owners cross join bounds),
+        sizes as (select bucket, count(*) as n, sum(v) as total from cut group by bucket), earlier as (select bucket, coalesce(sum(n) over (order by bucket rows between unbounded preceding and 1 preceding), 0) as before from sizes),
+        ranked as (select c.v, e.before + row_number() over (partition by c.bucket order by c.v, c.account) as r from cut c join earlier e on e.bucket = c.bucket), whole as (select sum(n) as n, sum(total) as total from sizes)"""), "select count(*) as accounts, round(2 * sum(r * v) / (max(w.n) * max(w.total)) - (max(w.n) + 1.0e0) / max(w.n), 6) as gini from ranked cross join whole w"),
+    "rolling_crossover": (steps(ROTATIONS, """seq as (select l.slot, m.start + l.pos as idx, case when l.side = 'O' then 1.0e0 else 0.0e0 end as v from legs l join marked m on m.slot = l.slot),
+        copies as (select s.slot, s.idx, s.v, cast(floor(s.idx / 4096.0e0) as bigint) + d.back as block from seq s cross join (select -1 as back union all select 0 union all select 1) d
+          where s.idx >= (cast(floor(s.idx / 4096.0e0) as bigint) + d.back) * 4096 - 200 and s.idx < (cast(floor(s.idx / 4096.0e0) as bigint) + d.back) * 4096 + 4295),
+        framed as (select slot, idx, block, avg(v) over (partition by block order by idx rows between 200 preceding and 199 following) as share, count(*) over (partition by block order by idx rows between 200 preceding and 199 following) as n from copies)"""), "select min(slot) filter (where n = 400 and share >= 0.5e0) as first_slot, count(*) filter (where n = 400) as full_frames from framed where idx >= block * 4096 and idx < block * 4096 + 4096"),
     "first_leg_per_signer": ("", "select signer, pool, min_by(account, slot * 1048576 + pos) as first_account, max_by(account, slot * 1048576 + pos) as last_account, min(slot) as first_slot, max(slot) as last_slot from legs group by signer, pool"),
     "share_within_day": ("d as (select slot, token, sum(value) as v from legs group by slot, token)", "select slot, token, round(v / sum(v) over (partition by slot), 6) as share from d"),
     "top_pool_per_signer": ("c as (select signer, pool, count(*) as n from legs group by signer, pool), r as (select *, row_number() over (partition by signer order by n desc, pool) as k from c)", "select signer, pool, n from r where k = 1"),
@@ -125,14 +141,16 @@ REPORTS: dict[str, tuple[str, str]] = {
         acts as (select distinct signer, f_slot from motifs), near as (select x.signer, r2.leader, count(*) as n from acts x join numbered r1 on r1.slot = x.f_slot cross join offsets o join rotations r2 on r2.rotation = r1.rotation + o.off group by x.signer, r2.leader),
         totals as (select signer, count(*) as total from acts group by signer)"""), "select n.signer, n.leader, n.n, round(n.n * 1.0e0 / t.total / b.freq, 6) as eta from near n join totals t on n.signer = t.signer join base b on n.leader = b.leader where n.n >= 2"),
     "flagged_leaders": (steps(FLAGGED), "select account, leader, n, round(eta, 6) as eta from flagged"),
-    "shared_leader_edges": (steps(FLAGGED, COHORT), "select a, b, count(*) as triples from edges group by a, b"),
-    "cohort_edges": (steps(FLAGGED, COHORT, "least_account as (select leader, min(account) as a from flagged group by leader)"), "select a, b from edges union select m.a, f.account as b from flagged f join least_account m on f.leader = m.leader where m.a < f.account"),
+    "shared_leader_edges": (steps(FLAGGED, SHARED), "select c.a, c.b, count(*) as shared from candidates c join flagged x on x.account = c.a join flagged y on y.account = c.b and y.leader = x.leader group by c.a, c.b having count(*) >= 3"),
+    "cohort_edges": (steps(FLAGGED, "least_account as (select leader, min(account) as a from flagged group by leader)"), "select distinct m.a, f.account as b from flagged f join least_account m on f.leader = m.leader where m.a < f.account"),
     "motif_account_edges": (steps(PAIRS), "select f_account as a, b_account as b, count(*) as n from motifs group by f_account, b_account"),
     "max_cooccurrence": (steps(PAIRS, ROTATIONS, ACTS, """offsets as (select -2 as off union all select -1 union all select 0 union all select 1 union all select 2), total as (select count(*) as n from rotations),
         met as (select a.entity, r.leader, o.off, count(*) as observed from acts a cross join offsets o cross join total t join rotations r on r.rotation = (a.rotation - 1 + o.off + t.n) % t.n + 1 group by a.entity, r.leader, o.off),
         ranked as (select *, row_number() over (partition by entity order by observed desc, off, leader) as k from met)"""), "select entity, leader, off, observed from ranked where k = 1"),
     # joins and sets
-    "asof_rotation": (steps(ROTATIONS, "every_ as (select slot, max(first_slot) as f from (select p.slot, r.first_slot from produced p join rotations r on r.first_slot <= p.slot and r.first_slot >= p.slot - 30) x group by slot)"), "select e.slot, r.rotation from every_ e join rotations r on r.first_slot = e.f"),
+    "asof_rotation": (steps(ROTATIONS, """asked as (select distinct slot + 3 as slot from legs), both_ as (select slot, cast(null as bigint) as f, 1 as asks from asked union all select first_slot, first_slot, 0 from rotations),
+        cut as (select slot, f, asks, cast(floor(slot / 512.0e0) as bigint) as part from both_), lasts as (select part, max(f) as f from cut group by part), befores as (select part, max(f) over (order by part rows between unbounded preceding and 1 preceding) as f from lasts),
+        latest as (select c.slot, c.asks, coalesce(max(c.f) over (partition by c.part order by c.slot, c.asks rows unbounded preceding), b.f) as f from cut c join befores b on b.part = c.part)"""), "select e.slot, r.rotation from latest e join rotations r on r.first_slot = e.f where e.asks = 1"),
     "any_inner_join": ("one as (select distinct slot from legs where token = 'A')", "select l.slot, count(*) as n from legs l join one o on l.slot = o.slot group by l.slot"),
     "scalar_lag": ("", "select slot, count(*) as n from legs where slot <= (select max(slot) from legs) - 2000 group by slot"),
     "candidate_having": ("", "select tx, count(distinct slot) as slots, count(*) as n from legs group by tx having count(distinct slot) = 1 and sum(case when token = 'N' then 1 else 0 end) = 0"),

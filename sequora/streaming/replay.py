@@ -38,7 +38,7 @@ def run_to_table(stream: DataFrame, name: str) -> DataFrame:
 class RotationMatcher:
     """A ``foreachBatch`` sink that keeps the legs of the last two rotations and writes the motifs of closed windows."""
 
-    def __init__(self, spark: SparkSession, path: str, gap: int = 1):
+    def __init__(self, spark: SparkSession, path: str, gap: int = matching.GAP):
         self.spark, self.path, self.gap = spark, path, gap
 
     def _carried(self, batch: int) -> DataFrame | None:
@@ -70,7 +70,7 @@ class RotationMatcher:
         return done.unionByName(rest)
 
 
-def match_stream(legs: DataFrame, gap: int = 1) -> DataFrame:
+def match_stream(legs: DataFrame, gap: int = matching.GAP) -> DataFrame:
     """The motifs of a stream of legs, all that is available now, batch by batch."""
     spark = legs.sparkSession
     path = shared_path(spark, "motif-stream")

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from sequora import catalog
+from sequora.plans import procedures, reports
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,7 +25,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(set(reports.REPORTS) | set(procedures.QUERIES)))
 def test_report(spark, duck, name):
     if name not in catalog.ORACLE_SQL:
         pytest.skip("no SQL for it")

@@ -2,9 +2,9 @@
 
 Measures of every text: mean word length, symbols a word, share of repeated lines, share of words in repeated windows.
 A KLL sketch of each measure is built for every (lang, source) by partial aggregation; the sketches of a language's
-sources merge into one for the language.  A fence lies beyond the sketch's 99th percentile by ``REACH`` times the way
-from the median to it, and by the measure's slack, which keeps measures that are nearly always equal from dropping every
-text that differs.  A group of n texts with words takes n / (n + ``WEIGHT``) of its own fence and the rest of its
+sources merge into one for the language.  Sketches take the texts that pass the base rules.  A fence lies beyond the
+sketch's 90th percentile by ``REACH`` times the way from the median to it, and by the measure's slack, which keeps
+measures that are nearly always equal from dropping every text that differs; so up to a tenth of a group may be junk.  A group of n texts with words takes n / (n + ``WEIGHT``) of its own fence and the rest of its
 language's, so small groups lean on their language and none switches at a size.  The mean word length has a fence on
 either side.
 
@@ -21,13 +21,13 @@ from . import common
 from .native import let, words
 
 WINDOW = 5
-TAIL = 0.99
-REACH = 1.0
+TAIL = 0.9
+REACH = 3.0
 WEIGHT = 100
 #: Items that a sketch keeps, about; a rank is off by some 0.4 % of its texts, and by nothing in groups of fewer.
 SKETCH = 800
 #: The slack of each measure; whether the measure has a lower fence.
-MEASURES = {"mean_chars": (0.25, True), "symbol_share": (0.02, False), "dup_line_share": (0.02, False), "repeat_share": (0.02, False)}
+MEASURES = {"mean_chars": (0.5, True), "symbol_share": (0.05, False), "dup_line_share": (0.25, False), "repeat_share": (0.18, False)}
 
 
 def repeated_words(found: Column) -> Column:
@@ -91,10 +91,10 @@ def fences(rows: DataFrame) -> DataFrame:
 def judge(docs: DataFrame) -> DataFrame:
     """Every document's counts, base_failed and kept."""
     rows, _ = common.materialise(measures(docs), "measures")
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rows = with_shares(rows)
     # the fences, a row a group, are small for most inputs; AQE broadcasts them by their size or splits hot groups
-    met = rows.join(fences(rows), F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    met = rows.join(fences(rows.where(~failed)), F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
     beyond = [F.coalesce((F.col(m) > F.col(f"{m}_high")) | (F.col(m) < F.col(f"{m}_low")), F.col(m) > F.col(f"{m}_high"), F.lit(False)) for m in MEASURES]
     kept = ~failed
     for b in beyond:

@@ -9,8 +9,8 @@ aggregation: max(rank) by (line, register).  A line has no fewer sites than full
 estimate of over twice the threshold, decide; of the others those estimated at a quarter of it or more have their sites
 counted exactly.  A line of enough sites is estimated at less with a probability under 1e-9.
 
-Lines to be counted, and decisions, of up to ``SHARED`` lines are broadcast, after their count is known, and decisions
-then applied to whole texts; more are joined to the lines instead, with the same result.
+Decisions of up to ``SHARED`` lines are broadcast, after their count is known, and applied to whole texts; more are
+joined to the lines instead, with the same result.
 
 Defined cases: a null text stays null and has no line; a null source is one site of its own; a null doc_id is the
 largest; documents with the smallest doc_id all keep the line if they repeat; lines are cut at \\n only; an empty table
@@ -35,6 +35,8 @@ SHORT_SITES = 10
 #: Registers of a sketch are 2 to this power.
 PRECISION = 8
 SHARED = 500_000
+#: Lines to be counted that are broadcast at most, of 32 bytes.
+NEAR = 100_000
 LAST = (1 << 63) - 1
 
 
@@ -69,7 +71,7 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, short_sites: int =
     sure = (F.col("full") >= F.col("need")) | (F.col("sites") > 2 * F.col("need"))
     every = lines_of(docs.select("text", site_hash().alias("site")), "site")
     a = likely.where(~sure).select(F.col("h1").alias("n1"), F.col("h2").alias("n2"), "first", "need")
-    if a.count() <= SHARED:
+    if a.count() <= NEAR:
         a = F.broadcast(a)
     else:  # a line on many pages is one row a site before it meets the others
         every = every.select("h1", "h2", "site").distinct()

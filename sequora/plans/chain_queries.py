@@ -42,7 +42,7 @@ class Chain:
         return sandwiches.headers(self.legs).select("signer", F.col("front_slot").alias("slot"))
 
     def pairs(self) -> DataFrame:
-        return association.scored(self.acts(), self.leaders, 1.2, 3)
+        return association.scored(self.acts(), self.leaders, 1.05, 3)
 
 
 def rounded(rows: DataFrame, places: int = 6) -> DataFrame:
@@ -144,7 +144,7 @@ base as (select b.leader, o.off, sum(a.slots) / any_value((select sum(slots) fro
 met as (select w.signer, r.leader, o.off, count(*) as n from sw w join numbered x on x.slot = w.front_slot cross join offs o join turns r on r.rotation = x.rotation + o.off group by 1, 2, 3),
 near as (select signer, leader, sum(n) as near, arg_min(off, -n * 10 + off) as peak_offset, max(n) as peak_count, coalesce(sum(n) filter (off = 1), 0) as off_1 from met group by 1, 2),
 pairs as (
-  select * from (select n.*, t.total as signer_total, b.expected, n.near / t.total / b.expected as eta from near n join (select signer, count(*) as total from sw group by 1) t on t.signer = n.signer join (select leader, sum(freq) as expected from base group by 1) b on b.leader = n.leader) where eta >= 1.2 and near >= 3
+  select * from (select n.*, t.total as signer_total, b.expected, n.near / t.total / b.expected as eta from near n join (select signer, count(*) as total from sw group by 1) t on t.signer = n.signer join (select leader, sum(freq) as expected from base group by 1) b on b.leader = n.leader) where eta >= 1.05 and near >= 3
 )"""
 
 
@@ -294,7 +294,7 @@ add("geometry_economics", lambda c: distributions.geometry_table(c.metrics(), al
 add("all_front_baseline", lambda c: distributions.all_front_baseline(c.metrics()), METRICS, "select cast(least(n_victims, 12) as bigint) as nv, round(avg(xl_all_victims_front_leader::int), 6) + 0.0 as p from m where geom_class = 'cross_leader' group by 1")
 add("win_rate_histogram", lambda c: distributions.histogram(c.features(), "win_rate", distributions.equal_edges(0, 1, 10)).select("bin", "n"), FEATURES, "select least(cast(floor(win_rate * 10 + 1e-12) as int), 9) as bin, count(*) as n from f where win_rate is not null group by 1")
 add("weighted_histogram", lambda c: distributions.histogram(c.features(), "win_rate", [0.0, 0.25, 0.5, 1.0], "sandwich_count").select("bin", "n"), FEATURES, "select case when win_rate < 0.25 then 0 when win_rate < 0.5 then 1 else 2 end as bin, cast(sum(sandwich_count) as bigint) as n from f where win_rate is not null group by 1")
-add("geometric_histogram", lambda c: distributions.histogram(c.features(), "usd_net_total", distributions.geometric_edges(1, 4096, 6)).select("bin", "n"), FEATURES, "select least(cast(floor(log2(usd_net_total) / 2) as int), 5) as bin, count(*) as n from f where usd_net_total between 1 and 4096 group by 1")
+add("geometric_histogram", lambda c: distributions.histogram(c.features(), "usd_net_total", distributions.geometric_edges(1, 65536, 8)).select("bin", "n"), FEATURES, "select least(cast(floor(log2(usd_net_total) / 2) as int), 7) as bin, count(*) as n from f where usd_net_total between 1 and 65536 group by 1")
 add("bin_means", lambda c: distributions.bin_means(c.features(), "win_rate", "usd_net_total", 0.05), FEATURES, "select cast(floor(win_rate / 0.05 + 1e-9) as bigint) as bin, count(*) as n, round(avg(usd_net_total), 4) + 0.0 as mean from f where win_rate is not null group by 1", 4)
 DESCRIBED = ("sandwich_count", "front_gap_p50", "mean_sc", "usd_net_total")
 add("describe_features", lambda c: distributions.describe(c.features(), DESCRIBED), FEATURES, " union all ".join(f"select '{x}' as name, count({x}) as n, {', '.join(f'round({e}, 4) + 0.0 as {a}' for e, a in ((f'avg({x})', 'mean'), (f'median({x})', 'median'), (f'stddev_samp({x})', 'sd'), (f'min({x})', 'lo'), (f'max({x})', 'hi'), *((f'quantile_cont({x}, {q})', f'p{round(100 * q)}') for q in (0.1, 0.25, 0.75, 0.9))))} from f" for x in DESCRIBED), 4)

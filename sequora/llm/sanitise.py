@@ -102,7 +102,7 @@ def entities(docs: DataFrame) -> DataFrame:
 
 def terms_of(text: Column) -> Column:
     """The distinct terms outside a text's entities.  Texts are read again for them: their terms are larger than they are."""
-    # three quarters of all texts and more have no sign that an entity needs, and are not looked through for one
+    # texts without a sign that entities need are not looked through for them
     plain = ~F.contains(text, F.lit("@")) & ~F.contains(text, F.lit("+")) & ~text.rlike(r"[0-9](?:[\x20.-]?[0-9]){3}")
     outside = F.when(plain, text).otherwise(let(F.struct(entity_spans(text).alias("base"), text.alias("text")), lambda x: masked(x["text"], x["base"])))
     return F.array_distinct(F.regexp_extract_all(let(outside, folded), F.lit(TERM), F.lit(0)))

@@ -28,6 +28,8 @@ BUCKET = 8
 HALF = 32
 #: Nodes whose signatures one task makes.
 NODES = 20_000
+#: A fingerprint is hot if it has more than this part of all rows.
+HOT = 1000
 #: Shared signatures, of 16 bytes, that may be broadcast; more are joined by a shuffle.
 BROADCAST = 4_000_000
 
@@ -115,7 +117,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     marked, _ = common.materialise(with_fingerprints(docs, F.col("doc_id").cast("long").alias("doc_id")), "fingerprints")
     roots, _ = common.materialise(near_duplicates(marked), "roots")
-    first = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    total = marked.count()
+    first, _ = common.materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "first")
     least = first.join(roots, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
-    named = roots.join(least, "root").select(F.col("fp").alias("f"), "component_id")
-    return marked.join(named, marked["fp"] == named["f"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named, _ = common.materialise(roots.join(least, "root").join(first.select("fp", "n"), "fp").select(F.col("fp").alias("f"), "component_id", (F.col("n") * HOT > total).alias("hot")), "named")
+    # fingerprints of more than a thousandth of all rows, of which there are fewer than a thousand, go to every task
+    hot = F.broadcast(named.where("hot").select("f", "component_id"))
+    on = marked["fp"] == F.col("f")
+    few = marked.join(F.broadcast(named.where("hot").select("f")), on, "left_anti").join(named.where("not hot").select("f", "component_id"), on)
+    met = marked.join(hot, on).unionByName(few)
+    return met.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -46,8 +46,8 @@ class Chain:
 
 
 def rounded(rows: DataFrame, places: int = 6) -> DataFrame:
-    # a sum near zero may come out on either side of it
-    return rows.select(*[(F.round(F.col(f"`{c}`"), places) + 0.0).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in rows.dtypes])
+    # scaled first, as SQL engines do: 431.845 is stored a little lower and still goes up; a sum near zero may come out on either side of it
+    return rows.select(*[(F.round(F.col(f"`{c}`") * 10.0**places, 0) / 10.0**places + 0.0).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in rows.dtypes])
 
 
 # SQL of the derived tables ----------------------------------------------------------------------------------------

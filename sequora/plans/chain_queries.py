@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
@@ -197,8 +197,10 @@ add("leg_tips", lambda c: sandwiches.leg_tips(c.legs, c.bundles, c.bundles.where
 
 # reports
 def _block(rows: DataFrame, *by) -> DataFrame:
-    net = F.col("usd_net")
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct("signer").alias("front_signers"), F.sum("victim_count").alias("victims"), F.sum("usd_gross").alias("usd_gross"), F.sum("usd_fee").alias("usd_fee"), F.sum(net).alias("usd_net"), F.avg(net).alias("usd_avg"), F.count_if(net > 0).alias("profitable"), scalars.ratio(F.count_if(net > 0), F.count(net)).alias("win_rate"), scalars.ratio(F.count_if(net.isNotNull() & (F.col("profit_a") > 0)), F.count(net)).alias("win_rate_gross"), F.count(net).alias("priced"))
+    # a distinct count would sum by signer first, and sums at half a cent would round otherwise than those over the rows
+    net, one = F.col("usd_net"), Window.partitionBy(*by, "signer").orderBy("sid")
+    rows = rows.withColumn("fresh", F.col("signer").isNotNull() & (F.row_number().over(one) == 1))
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_if("fresh").alias("front_signers"), F.sum("victim_count").alias("victims"), F.sum("usd_gross").alias("usd_gross"), F.sum("usd_fee").alias("usd_fee"), F.sum(net).alias("usd_net"), F.avg(net).alias("usd_avg"), F.count_if(net > 0).alias("profitable"), scalars.ratio(F.count_if(net > 0), F.count(net)).alias("win_rate"), scalars.ratio(F.count_if(net.isNotNull() & (F.col("profit_a") > 0)), F.count(net)).alias("win_rate_gross"), F.count(net).alias("priced"))
 
 
 BLOCK = "count(*) as n, count(distinct signer) as front_signers, cast(sum(victim_count) as bigint) as victims, round(sum(usd_gross), 2) + 0.0 as usd_gross, round(sum(usd_fee), 2) as usd_fee, round(sum(usd_net), 2) + 0.0 as usd_net, round(avg(usd_net), 2) + 0.0 as usd_avg, count(*) filter (usd_net > 0) as profitable, round(count(*) filter (usd_net > 0) / nullif(count(usd_net), 0), 2) as win_rate, round(count(*) filter (usd_net is not null and profit_a > 0) / nullif(count(usd_net), 0), 2) as win_rate_gross, count(usd_net) as priced"

@@ -112,3 +112,18 @@ def test_ingest_tables(spark):
     fetched = spark.createDataFrame([(s,) for s in (5, 6, 7, 9)], "slot long")
     assert files.frontier(fetched, 5).first()[0] == 7 and files.frontier(fetched, 4).first()[0] is None
     assert {r.slot for r in files.missing_slots(spark, 4, 9, fetched).collect()} == {4, 8}
+
+
+@pytest.mark.parametrize("name", ["report_pattern", "report_bundle_epochs"])
+def test_sums_at_half_a_cent(spark, name, monkeypatch):
+    larger = SF.replace("sf0.001", "sf0.01")
+    monkeypatch.setattr(chain_queries.Chain, "metrics", lambda c: sandwiches.metrics(c.legs, c.leaders, c.counts, c.bundles, c.prices))  # not those kept
+    con = duckdb.connect()
+    for t in ("lineitem", "orders", "part", "events"):
+        con.execute(f"create view {t} as select * from '{larger}/{t}.parquet'")
+    pd.testing.assert_frame_equal(plain(chain_queries.QUERIES[name](spark, larger).toPandas()), plain(con.execute(chain_queries.ORACLE_SQL[name]).df()), check_dtype=False)
+
+
+def test_rounding_scales_first(spark):
+    rows = spark.createDataFrame([(431.84499999999997, 2), (-431.84499999999997, 2), (-0.0, 1), (None, 1)], "x double, n long")
+    assert [r.x for r in chain_queries.rounded(rows, 2).collect()] == [431.85, -431.85, 0.0, None]

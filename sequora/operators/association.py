@@ -145,3 +145,38 @@ def boundary_suppression(rows: DataFrame, leaders: DataFrame) -> DataFrame:
     gapped = placed.where("not contiguous").select("signer", "sid", "cross_leader", "span", "last_slot", "rotation").join(numbered.select(F.col("slot").alias("c"), "rotation"), "rotation")
     gapped = gapped.groupBy("signer", "sid", "cross_leader").agg(F.avg((F.col("c") + F.col("span") > F.col("last_slot")).cast("int")).alias("p")).select("signer", "cross_leader", "p")
     return closed.unionByName(gapped).groupBy("signer").agg(F.count("*").alias("n"), F.count_if("cross_leader").alias("observed"), F.sum("p").alias("expected"))
+
+
+#: Triples of a sorted array of leaders, each sorted.
+_TRIPLES = "flatten(transform(sequence(0, size(leaders) - 3), i -> flatten(transform(sequence(i + 1, size(leaders) - 2), j -> transform(sequence(j + 1, size(leaders) - 1), k -> array(leaders[i], leaders[j], leaders[k]))))))"
+#: Accounts of one set of leaders are joined in blocks of about this many; up to ``NEAR`` accounts are broadcast.
+BLOCK = 500
+NEAR = 1_000_000
+
+
+def shared_leader_edges(flagged: DataFrame) -> DataFrame:
+    """(a, b, shared): accounts a < b that are flagged (account, leader) for three leaders or more in common.
+
+    Only sets of leaders are compared: two share three if they hold the same triple, and are met at the least such one, so
+    no pair has to be made distinct.  Their accounts are then paired in passing; no pair of accounts is ever shuffled.
+    """
+    spark = flagged.sparkSession
+    graph.use_checkpoints(spark)
+    known = flagged.where("account is not null and leader is not null").groupBy("account").agg(F.sort_array(F.collect_set("leader")).alias("leaders"))
+    sets = known.where("size(leaders) >= 3").checkpoint()
+    classes = sets.groupBy("leaders").agg(F.count("*").alias("n"))
+    triples = classes.select("leaders", F.explode(F.expr(_TRIPLES)).alias("triple"))
+    both = F.array_intersect("l1", "l2")
+    pairs = (
+        triples.select("triple", F.col("leaders").alias("l1")).join(triples.select("triple", F.col("leaders").alias("l2")), "triple")
+        .where((F.col("l1") <= F.col("l2")) & (F.slice(both, 1, 3) == F.col("triple"))).select("l1", "l2", F.size(both).cast("long").alias("shared"))
+        .repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    )
+    blocks = sets.join(classes, "leaders").groupBy("leaders", F.pmod(F.xxhash64("account"), F.ceil(F.col("n") / BLOCK)).alias("block")).agg(F.collect_list("account").alias("accounts"))
+    one, two = (blocks.select(F.col("leaders").alias(f"l{i}"), F.col("block").alias(f"b{i}"), F.col("accounts").alias(f"a{i}")) for i in (1, 2))
+    if sets.count() <= NEAR:
+        one, two = F.broadcast(one), F.broadcast(two)
+    same = F.col("l1") == F.col("l2")
+    met = pairs.join(one, "l1").join(two, "l2").where(~same | (F.col("b1") <= F.col("b2"))).withColumn("within", same & (F.col("b1") == F.col("b2")))
+    each = met.select("shared", "within", "a2", F.explode("a1").alias("u")).select("shared", "within", "u", F.explode("a2").alias("v"))
+    return each.where(~F.col("within") | (F.col("u") < F.col("v"))).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "shared")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import graph, matching, permutation
+from ..operators import association, graph, matching, permutation
 from ..sources import ledger
 from ..streaming import replay
 from . import reports
@@ -24,6 +24,10 @@ def cohort_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components(reports.spark_query("cohort_edges")(spark, sf_dir))
 
 
+def shared_leader_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return association.shared_leader_edges(reports.spark_query("flagged_leaders")(spark, sf_dir))
+
+
 def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger.register(spark, sf_dir)
     acts = spark.sql(f"with {reports.steps(reports.PAIRS, reports.ROTATIONS, reports.ACTS)} select entity, rotation from acts")
@@ -51,6 +55,7 @@ QUERIES = {
     "claimed_motifs": claimed_motifs,
     "entity_components": entity_components,
     "cohort_components": cohort_components,
+    "shared_leader_edges": shared_leader_edges,
     "permutation_test": permutation_test,
     "stream_first_events": stream_first_events,
 }

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from sequora.operators import graph, matching, permutation
+from sequora.operators import association, graph, matching, permutation
 from sequora.plans import procedures, reports
 from sequora.sources import ledger
 from sequora.streaming import replay
@@ -76,3 +76,17 @@ def test_permutation(spark):
 def test_observed_statistic_equals_sql(spark):
     want = {(r.entity, r.observed) for r in reports.spark_query("max_cooccurrence")(spark, SF).collect()}
     assert {(r.entity, r.observed) for r in procedures.permutation_test(spark, SF).collect()} == want
+
+
+def test_pairs_of_accounts_are_not_shuffled(spark, monkeypatch):
+    rng = random.Random(3)
+    held = {a: frozenset(rng.sample(range(9), rng.randrange(7))) for a in range(300)}
+    flagged = spark.createDataFrame([(a, leader) for a, ls in held.items() for leader in ls] + [(None, 1), (7, None)], "account long, leader long")
+    want = {(a, b, len(held[a] & held[b])) for a in held for b in held if a < b and len(held[a] & held[b]) >= 3}
+    for near in (association.NEAR, 0):  # broadcast, and joined
+        monkeypatch.setattr(association, "BLOCK", 4)
+        monkeypatch.setattr(association, "NEAR", near)
+        got = [tuple(r) for r in association.shared_leader_edges(flagged).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    plan = procedures.QUERIES["shared_leader_edges"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Generate")] and "Aggregate" not in plan[: plan.index("Generate")]

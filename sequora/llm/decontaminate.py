@@ -7,8 +7,9 @@ is the plain one of features, and repeated words don't make a fingerprint lean o
 
 Every window of every text gets a 64-bit SimHash for each length that items have, as a difference of running sums.
 Those in which a shingle repeats, which running sums don't serve, are all verified.  Fingerprints are cut into four blocks of 16 bits; an item is entered in each block's table under every value
-within ``RADIUS // 4`` bits, so the tables miss no fingerprint within ``RADIUS`` bits.  Windows so met are compared by
-Hamming distance, and what stays is verified by exact shingle counts and stays from ``SIMILARITY`` on.
+within ``RADIUS // 4`` bits, so the tables miss no fingerprint within ``RADIUS`` bits.  Windows so met that hold enough
+known shingles are compared by Hamming distance, and what stays is verified by exact shingle counts and stays from
+``SIMILARITY`` on.
 
 A window of the item's size at a similarity of 0.8 shares 8 of 9 features, so a bit differs with probability
 arccos(8/9) / pi = 0.152; more than ``RADIUS`` of 64 differ with probability 1.1e-5, and less at a higher similarity.
@@ -27,6 +28,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +41,7 @@ BLOCK_WORDS = 2_000_000
 BLOCK_LENGTHS = 256
 #: Bytes of text that a worker slides over at a time, so that its sums stay near the processor.
 SLICE = 1 << 20
-#: Short words that a worker remembers the hashes of.
+#: Short words of other than ASCII letters and digits that a worker remembers the hashes of.
 WORDS = 300_000
 #: Windows whose fingerprints are made at once.
 RUN = 32768
@@ -48,27 +50,37 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def clean(word: str) -> str:
-    return _NOISE.sub("", word.lower())
+    low = word.lower()
+    return low if low.isalnum() else _NOISE.sub("", low)
 
 
 _hashes: dict[str, int] = {}
 
 
-def hash_words(words: list[str]) -> np.ndarray:
-    """A hash of each cleaned word, zero for words without letters and digits; a worker remembers ``WORDS`` of them."""
+def hash_words(words: pa.Array) -> np.ndarray:
+    """A hash of each cleaned word, zero for words without letters and digits.
+
+    Plain ASCII words only need their case lowered; of the others a worker remembers ``WORDS``.
+    """
     from xxhash import xxh64_intdigest
 
     if len(_hashes) > WORDS:
         _hashes.clear()
-    known = _hashes.get
-    out = [known(w) for w in words]
-    for at, h in enumerate(out):
+    plain = pc.ascii_is_alnum(words).to_numpy(zero_copy_only=False).astype(bool)
+    out = np.fromiter(map(xxh64_intdigest, pc.ascii_lower(words).to_numpy(zero_copy_only=False)), np.uint64, len(words))
+    out[out == 0] = 1
+    rest = np.flatnonzero(~plain)
+    others = words.take(pa.array(rest)).to_numpy(zero_copy_only=False).tolist()
+    found = list(map(_hashes.get, others))
+    for at, h in enumerate(found):
         if h is None:
-            w = words[at]
-            out[at] = (xxh64_intdigest(c) or 1) if (c := clean(w)) else 0
+            w = others[at]
+            h = (xxh64_intdigest(c) or 1) if (c := clean(w)) else 0
             if len(w) <= 32:
-                _hashes[w] = out[at]
-    return np.array(out, np.uint64)
+                _hashes[w] = h
+            found[at] = h
+    out[rest] = np.array(found, np.uint64)
+    return out
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
@@ -183,7 +195,7 @@ class Items:
         self.groups: dict[int, dict] = {}
         known: dict[int, list] = {}
         for item_id, text in rows:
-            hashes = hash_words(text.split())
+            hashes = hash_words(pa.array(text.split(), pa.string()))
             hashes = hashes[hashes > 0]
             if not len(hashes):
                 continue
@@ -204,23 +216,27 @@ class Items:
             self.known[width] = screen
 
     @staticmethod
-    def near(group: dict, prints: np.ndarray):
-        """For each item whether each fingerprint is within the radius, by way of the tables; the answer is overwritten by the next."""
+    def tabled(group: dict, prints: np.ndarray) -> np.ndarray:
+        """Whether each fingerprint is met in a table; the answer is overwritten by the next."""
         blocks, k = prints.view("<u2").reshape(-1, 4), len(prints)
-        met, also, apart, bits = (_buffer(name, k, kind) for name, kind in (("met", bool), ("also", bool), ("apart", np.uint64), ("bits", np.uint8)))
-        np.take(group["tables"][0], blocks[:, 0], out=met, mode="clip")
-        for block in (1, 2, 3):
-            met |= np.take(group["tables"][block], blocks[:, block], out=also, mode="clip")
+        met, also, places = _buffer("met", k, bool), _buffer("also", k, bool), _buffer("places", k, np.intp)
+        for block in range(4):
+            np.copyto(places, blocks[:, block])
+            np.take(group["tables"][block], places, out=also if block else met, mode="wrap")  # the fastest; all are within
+            if block:
+                met |= also
+        return met
+
+    @staticmethod
+    def near(group: dict, prints: np.ndarray):
+        """For each item whether each fingerprint is within the radius."""
         for own in group["prints"]:
-            np.bitwise_count(np.bitwise_xor(prints, np.uint64(own), out=apart), out=bits)
-            np.less_equal(bits, RADIUS, out=also)
-            also &= met
-            yield also
+            yield np.bitwise_count(prints ^ np.uint64(own)) <= RADIUS
 
     def search(self, texts: pa.Array):
         """(text's index, its best windows) for each text that has one: (item_id, similarity, distance, first word, words)."""
         index, words, counts = common.split_words(texts.fill_null(""))
-        hashes = hash_words(words.to_pylist())[index]
+        hashes = hash_words(words)[index]
         owner = np.repeat(np.arange(len(counts)), counts)
         full = hashes > 0
         hashes, owner = hashes[full], owner[full]
@@ -250,7 +266,7 @@ class Items:
 
             shorter = np.flatnonzero((sizes < lengths[-1]) & (sizes >= width))
             whole = np.array([fingerprint(shingles[first[t] : first[t] + sizes[t] - width + 1]) for t in shorter], np.uint64)
-            enough = {length: np.ceil(2 * SIMILARITY * self.groups[length]["n"] / (1 + SIMILARITY) - 1e-6) for length in lengths}
+            enough = {length: int(np.ceil(2 * SIMILARITY * self.groups[length]["n"] / (1 + SIMILARITY) - 1e-6)) for length in lengths}
             for begin in range(0, len(shingles), RUN):
                 for length in lengths:
                     group = self.groups[length]
@@ -261,10 +277,16 @@ class Items:
                     # of n shingles, so many must be known to some item if the similarity is to be reached
                     promising = met[begin + n : end + n] - met[begin:end] >= enough[length]
                     odd = windows.repeat[begin:end] <= n
-                    for i, close in enumerate(self.near(group, windows.prints(n, begin, end))):
-                        close |= odd
-                        close &= promising
-                        at = np.flatnonzero(close) + begin
+                    prints = windows.prints(n, begin, end)
+                    met_too = self.tabled(group, prints)
+                    met_too |= odd
+                    met_too &= promising
+                    chosen = np.flatnonzero(met_too)
+                    if not len(chosen):
+                        continue
+                    sure = odd[chosen]
+                    for i, close in enumerate(self.near(group, prints[chosen])):
+                        at = chosen[close | sure] + begin
                         if len(at):
                             at = at[left[at] >= length]
                             verify(at, np.full(len(at), n), group, length, i)
@@ -272,6 +294,7 @@ class Items:
                 group = self.groups[length]
                 n = group["n"]
                 some = np.flatnonzero((sizes[shorter] < length) & ((sizes[shorter] - width + 1) * 5 >= 4 * n))
+                some = some[self.tabled(group, whole[some])]
                 for i, close in enumerate(self.near(group, whole[some])) if len(some) else ():
                     chosen = shorter[some[close]]
                     verify(first[chosen], sizes[chosen] - width + 1, group, length, i)

@@ -54,3 +54,16 @@ def test_blocks_by_lengths(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "x a b c d e f", 0), (2, "g h i j k l m", 1), (3, "x y z", 2)], "doc_id long, text string, leak_text int")
     kept = decontaminate.without_leaks(docs, items)
     assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(3, "x y z", 2)]
+
+
+def test_hashes_of_words_in_bulk():
+    import pyarrow as pa
+    from xxhash import xxh64_intdigest
+
+    from sequora.llm import decontaminate
+
+    words = ["Plain", "a-B", "straße", "É", "--", "x_y", "İ2", "7", "plain", "a-B", "Σας"]
+    want = [xxh64_intdigest(c) if (c := decontaminate._NOISE.sub("", w.lower())) else 0 for w in words]
+    for _ in range(2):  # again from memory
+        assert decontaminate.hash_words(pa.array(words, pa.string())).tolist() == want
+    assert decontaminate.hash_words(pa.array([], pa.string())).tolist() == []

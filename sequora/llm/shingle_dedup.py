@@ -173,6 +173,7 @@ def near_duplicates(docs: DataFrame, marked: DataFrame, id_: Column, row: Column
     parts = F.greatest(F.ceil(total / TOKENS), F.least(F.lit(SPLIT), F.ceil(total / SMALL)))
     blocks = members.groupBy("root").agg(parts.cast("int").alias("blocks")).withColumnRenamed("root", "r")
     placed = members.join(blocks, F.col("root") == F.col("r")).select("id", F.col("row").alias("m_row"), "root", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
+    placed = common.bounded(placed, "placed")  # broadcast where it can be, so that no text is shuffled
     read = docs.select(id_.alias("d_id"), row.alias("d_row"), "text").join(placed, F.col("d_id").eqNullSafe(F.col("id")) & (F.col("d_row") == F.col("m_row")))
     found, _ = common.materialise(with_sets(read, F.col("root"), F.col("blocks"), F.col("block"), tokens=True), "sets")
     found = found.dropDuplicates(["root", "fp"]) if found.groupBy("fp").count().where("count > 1").limit(1).count() else found

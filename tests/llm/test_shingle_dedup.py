@@ -44,3 +44,25 @@ def test_near_copies_at_the_threshold(spark, monkeypatch):
         monkeypatch.setattr(shingle_dedup, "TOKENS", tokens)
         monkeypatch.setattr(shingle_dedup, "SMALL", tokens)
         assert {r.doc_id for r in shingle_dedup.keep_one(table).collect()} == want
+
+
+def test_texts_are_not_shuffled_for_a_few_near_copies(spark, monkeypatch):
+    from sequora.llm import common
+
+    words = [f"w{i}" for i in range(100)]
+    docs = [(i, " ".join(words) if i == 0 else " ".join(words[:-1])) for i in range(2)] + [(i, f"text {i}") for i in range(2, 40)]
+    plans, write = [], common.materialise
+
+    def noted(df, name, *args):
+        if name == "sets":
+            plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return write(df, name, *args)
+
+    monkeypatch.setattr(common, "materialise", noted)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(r.doc_id for r in shingle_dedup.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()) == [0, *range(2, 40)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plans and "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]

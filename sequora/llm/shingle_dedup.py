@@ -1,10 +1,9 @@
 """Operator 10 for shingle sets: near-duplicates by the Jaccard similarity of distinct five-word shingles, 0.8 or more.
 
-Fingerprints within two bits, as ``simhash_dedup`` links them, meet one in five of such pairs.  Signatures with one
-wildcard would have to be 16 bits or shorter to meet them all, and then any two texts share one (the README has the
-figures), so here minhash bands nominate: two sets of similarity s share none of ``BANDS`` bands of ``ROWS`` values with
-probability (1 - s^7)^36, which is 2.1e-4 at 0.8 and 4e-7 at 0.85.  Equal shingle sets are one node from the start.
-Nodes that share bands, directly or through others, make a cluster, and similar sets are found in clusters exactly.
+SimHash nominates: wide fingerprints of the shingle sets are met by deletion-variant signatures of their segments, as
+``simhash_dedup.wide_links`` has it, where a pair of 0.8 is missed with 3e-5.  Equal shingle sets are one node from the
+start, and sets of fewer than ``FEWEST`` shingles are similar to equal ones alone.  Nodes that are linked, directly or
+through others, make a cluster, and similar sets are found in clusters exactly.
 
 A cluster is dealt into blocks of about ``TOKENS`` shingles, and each pair of blocks is a group of its own, so memory
 stays bounded; a group returns the links of a spanning forest, never all pairs.
@@ -22,25 +21,18 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
+from .simhash_dedup import mixed, wide_fingerprint, wide_links
 
 WIDTH = 5
 SIMILAR = (4, 5)  # a fraction, so that the comparison is exact
-BANDS, ROWS = 36, 7
+#: Different sets are similar only if they have five shingles together and share four.
+FEWEST = 4
 TOKENS = 200_000
 #: Clusters of more shingles than ``SMALL`` are dealt into up to ``SPLIT`` blocks at any rate, so that they don't fill one task.
 SMALL, SPLIT = 50_000, 4
-_RNG = np.random.default_rng(42)
-_SEEDS, _FACTORS = (_RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32) for _ in range(2))
-_FACTORS |= np.uint32(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def shingle_sets(texts: pa.Array, width: int = WIDTH):
     """For each text the sorted distinct 64-bit hashes of its shingles."""
     from xxhash import xxh64_intdigest
@@ -50,7 +42,7 @@ def shingle_sets(texts: pa.Array, width: int = WIDTH):
     rolled = np.zeros(max(0, len(hashes) - width + 1), np.uint64)
     for k in range(width):
         rolled = rolled * _STEP + hashes[k : len(hashes) - width + 1 + k] if len(rolled) else rolled
-    rolled = _mixed(rolled)
+    rolled = mixed(rolled)
     for at, n in zip(common.starts_of(counts), counts):
         if n >= width:
             yield np.unique(rolled[at : at + n - width + 1])
@@ -58,21 +50,7 @@ def shingle_sets(texts: pa.Array, width: int = WIDTH):
             own = np.zeros(min(n, 1), np.uint64)
             for h in hashes[at : at + n]:
                 own = own * _STEP + h
-            yield _mixed(own + np.uint64(n))
-
-
-def bands_of(tokens: np.ndarray) -> np.ndarray:
-    """A 64-bit value for each band, none for an empty set."""
-    if not len(tokens):
-        return np.zeros(0, np.int64)
-    least = np.full(BANDS * ROWS, (1 << 32) - 1, np.uint32)
-    short = (tokens >> np.uint64(32)).astype(np.uint32)
-    for at in range(0, len(short), 512):
-        np.minimum(least, ((short[None, at : at + 512] ^ _SEEDS[:, None]) * _FACTORS[:, None]).min(axis=1), out=least)
-    out = np.arange(BANDS, dtype=np.uint64)
-    for column in least.reshape(BANDS, ROWS).T:
-        out = _mixed(out * _STEP + column)
-    return out.view(np.int64)
+            yield mixed(own + np.uint64(n))
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -87,14 +65,14 @@ def _digest(tokens: np.ndarray) -> int:
 
 
 def with_sets(docs: DataFrame, *kept: Column, tokens: bool = False) -> DataFrame:
-    """The columns kept, fp (equal for equal sets), size, and sets: the minhash bands, or the hashes themselves."""
+    """The columns kept, fp (equal for equal sets), size, and sets: the wide fingerprint, or the hashes themselves."""
 
     def rows(batches):
         for batch in common.in_slices(batches):
             found = list(shingle_sets(batch.column("fp_text")))
             prints = np.array([_digest(t) for t in found], np.uint64).view(np.int64)
             sizes = np.array([len(t) for t in found], np.int64)
-            lists = _lists(found if tokens else [bands_of(t) for t in found])
+            lists = _lists(found if tokens else [wide_fingerprint(t) for t in found])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints), pa.array(sizes), lists], [*batch.schema.names[:-1], "fp", "size", "sets"])
 
     common.ship(docs.sparkSession)
@@ -160,14 +138,13 @@ def _compare(table: pa.Table) -> pa.Table:
 def near_duplicates(docs: DataFrame, marked: DataFrame, id_: Column, row: Column) -> DataFrame:
     """(fp, root): for each set of a materialised table (id, row, fp, size, sets), its component's smallest fp.
 
-    docs: the texts again, of which one a set is read for the sets that share a band; id_ and row name its rows.
+    docs: the texts again, of which one a set is read for the sets in clusters; id_ and row name its rows.
     """
-    # one row a set: the row that names it, and its bands
+    # one row a set: the row that names it, and its fingerprint
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row", "size")
     nodes, _ = common.materialise(marked.groupBy("fp").agg(F.min(order).alias("x"), F.first("sets").alias("sets")), "nodes")
-    signed = nodes.select("fp", F.explode("sets").alias("band"))
-    shared, _ = common.materialise(signed.groupBy("band").agg(F.min("fp").alias("v"), F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("b"), "v"), "shared")
-    clusters, _ = common.materialise(components(signed.join(shared, F.col("band") == F.col("b")).where("fp <> v").select(F.col("fp").alias("u"), "v")), "clusters")
+    links = wide_links(nodes.where(F.col("x.size") >= FEWEST).select("fp", "x.size", F.col("sets").alias("prints")))
+    clusters, _ = common.materialise(components(links), "clusters")
     members, _ = common.materialise(nodes.join(clusters, F.col("fp") == F.col("node")).select("x.*", "root", F.col("fp").alias("node")), "members")
     total = F.sum("size")
     parts = F.greatest(F.ceil(total / TOKENS), F.least(F.lit(SPLIT), F.ceil(total / SMALL)))

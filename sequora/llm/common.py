@@ -122,6 +122,22 @@ def release() -> None:
         pass
 
 
+_held: list = ["", None]
+
+
+def hold(name: str = "", forget=None) -> None:
+    """Say whose tables this Python worker keeps from now on: those of another operator are forgotten.
+
+    Workers outlive an operator, so that a pipeline would else hold the tables of all its stages at once.
+    """
+    if _held[0] == name:
+        return
+    if _held[1]:
+        _held[1]()
+    _held[:] = name, forget
+    release()
+
+
 def in_slices(batches, rows: int = 4000, limit: int = 3 << 20):
     """Arrow batches cut so that a slice has few rows and, but for a single row, few bytes of strings.
 

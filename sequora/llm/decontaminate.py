@@ -305,8 +305,15 @@ class Items:
 _last: list = [None, None]
 
 
+def _forget() -> None:
+    _last[:] = None, None
+    _hashes.clear()
+    _buffers.clear()
+
+
 def items_of(shared) -> "Items":
     """The items of a broadcast block, made once a worker; of other blocks none is kept."""
+    common.hold("decontaminate", _forget)
     if _last[0] is not shared.value:
         _last[:] = shared.value, Items(shared.value)
     return _last[1]

@@ -114,6 +114,7 @@ def clean_lines(docs: DataFrame, min_sites: int = MIN_SITES, short_sites: int =
     known = spark.sparkContext.broadcast([hashes[0].view(np.uint64), *hashes[1:]])
 
     def rows_of(batches):
+        common.hold()
         clean = _cleaner({int(a): (int(b), int(c)) for a, b, c in zip(*known.value, strict=True)})
         for batch in common.in_slices(batches):
             texts, ids = batch.columns[-2:]

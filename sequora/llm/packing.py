@@ -24,6 +24,8 @@ from . import common
 from .tokens import worker_tokenizer
 
 CAPACITY = 1024
+#: Bytes of text that are encoded at once; larger slices cost memory that two workers of an executor take at a time.
+SLICE = 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -34,7 +36,7 @@ def piece_table(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) ->
     def cut(batches):
         tokenizer = worker_tokenizer(vocabulary)
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in common.in_slices(batches):
+        for batch in common.in_slices(batches, limit=SLICE):
             ids, counts = tokenizer.encode(batch.column("text"), end_id)
             raw = memoryview(ids.astype("<u4").tobytes())
             pieces = -(-counts // capacity)

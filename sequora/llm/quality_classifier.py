@@ -77,6 +77,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> list[tuple
     chosen = texts.join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("doc_id", "label", "text")  # ``sample`` rows at most
 
     def sparse(batches):
+        common.hold()
         for batch in common.in_slices(batches, 500):
             found, counts = features(batch.column("text"))
             first = common.starts_of(counts)
@@ -118,10 +119,11 @@ def scorer(spark: SparkSession, weights: np.ndarray):
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        common.hold()
         w = shared.value
         for texts in batches:
             out = [np.zeros(0)]
-            for part in common.in_slices([pa.RecordBatch.from_arrays([texts], ["text"])], 2000, 2 << 20):
+            for part in common.in_slices([pa.RecordBatch.from_arrays([texts], ["text"])], 2000, 1 << 20):
                 found, counts = features(part.column("text"))
                 per_word = w[found.astype(np.int64)].sum(axis=1, dtype=np.float64)
                 total = np.concatenate([[0.0], np.cumsum(per_word)])

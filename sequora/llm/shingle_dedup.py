@@ -68,6 +68,7 @@ def with_sets(docs: DataFrame, *kept: Column, tokens: bool = False) -> DataFrame
     """The columns kept, fp (equal for equal sets), size, and sets: the wide fingerprint, or the hashes themselves."""
 
     def rows(batches):
+        common.hold()
         for batch in common.in_slices(batches):
             found = list(shingle_sets(batch.column("fp_text")))
             prints = np.array([_digest(t) for t in found], np.uint64).view(np.int64)

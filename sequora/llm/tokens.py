@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import common
+
 #: Parts remembered by a worker unless told otherwise; later ones are encoded anew each time, so memory stays bounded and ids are the same.
 REMEMBERED = 300_000
 #: Characters of the longest part remembered.
@@ -27,6 +29,7 @@ _workers: dict[str, "PartTokenizer"] = {}
 
 def worker_tokenizer(path: str, remembered: int = REMEMBERED) -> "PartTokenizer":
     """The tokenizer of this Python worker for a vocabulary file; it remembers that many parts."""
+    common.hold("tokens", _workers.clear)
     if path not in _workers:
         _workers[path] = PartTokenizer(path)
     _workers[path].remembered = remembered

@@ -24,19 +24,19 @@ from . import common
 from .tokens import worker_tokenizer
 
 CAPACITY = 1024
-#: Bytes of text that are encoded at once; larger slices cost memory that two workers of an executor take at a time.
-SLICE = 1 << 20
+#: Bytes of text that are encoded at once; smaller slices take less memory and more time.
+SLICE = 3 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def piece_table(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> DataFrame:
+def piece_table(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, at_once: int = SLICE) -> DataFrame:
     """All pieces, with the task that cut them and their rank among its pieces of that length."""
 
     common.ship(docs.sparkSession)
     def cut(batches):
         tokenizer = worker_tokenizer(vocabulary)
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in common.in_slices(batches, limit=SLICE):
+        for batch in common.in_slices(batches, limit=at_once):
             ids, counts = tokenizer.encode(batch.column("text"), end_id)
             raw = memoryview(ids.astype("<u4").tobytes())
             pieces = -(-counts // capacity)
@@ -152,10 +152,10 @@ def plan(counts: np.ndarray, capacity: int) -> dict[int, np.ndarray]:
     return {size: np.array(rows, np.int64) for size, rows in out.items()}
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
-    """One row a piece with its sequence_id and offset."""
+def pack(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACITY, at_once: int = SLICE) -> DataFrame:
+    """One row a piece with its sequence_id and offset; at_once: bytes of text that are encoded at once."""
     spark = docs.sparkSession
-    pieces, _ = common.materialise(piece_table(docs, vocabulary, end_id, capacity), "pieces")
+    pieces, _ = common.materialise(piece_table(docs, vocabulary, end_id, capacity, at_once), "pieces")
     per_task = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     sizes = pieces.groupBy("length").agg(F.count("*").alias("n")).toArrow()  # at most ``capacity`` rows
     counts = np.zeros(capacity + 1, np.int64)

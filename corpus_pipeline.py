@@ -30,7 +30,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word similarity of 0.8 or more, the one with the smallest doc_id."""
+    """One document of each group linked by five-word similarity of 0.8 or more, the one with the smallest doc_id.
+
+    Deletion variants of SimHashes nominate, shingle sets are compared exactly.
+    """
     return shingle_dedup.keep_one(docs)
 
 
@@ -43,18 +46,18 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 1024 tokens."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 2)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 2, at_once=1 << 20)  # beside a heap that four stages have filled
 
 
 STAGES = [
     ("quality classifier", classify),
     ("line dedup", dedup_lines),
-    ("shingle near-dedup", dedup_documents),
+    ("simhash near-dedup", dedup_documents),
     ("benchmark decontamination", decontaminate_documents),
     ("best-fit packing", pack),
 ]
 
-#: Neither the classifier, the shingle hashes nor the packing can be said in SQL.
+#: Neither the classifier, the fingerprints nor the packing can be said in SQL.
 ORACLE_SQL = None
 
 
